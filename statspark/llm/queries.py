@@ -24,5 +24,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op10_language_id": op10_language_id}
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("pii", lambda s: s["place"] < len(pii.BASE_KINDS))
+    return found.select("doc_id", *(count(k) for k in pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = media.media_digests(media.image_features(stored))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op4_packing": op4_packing, "op5_media": op5_media, "op10_language_id": op10_language_id}
 SQL: dict[str, str] = {}
