@@ -52,5 +52,46 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_packing": op4_packing, "op5_media": op5_media, "op10_language_id": op10_language_id}
-SQL: dict[str, str] = {}
+#: The contract's rules: action, host, path prefix.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urlfilter.judge(spark, table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(action, rhost, rpath) AS (VALUES {_RULE_ROWS}),
+fits AS (
+  SELECT r, rhost || rpath AS rule, action, row_number() OVER (PARTITION BY r ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, rhost || rpath DESC) AS n
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (r)
+"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    windows = decontam.windows_of(table(spark, sf_dir, "benchmark"))
+    return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), windows))
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_url_filter": op2_url_filter,
+    "op4_packing": op4_packing,
+    "op5_media": op5_media,
+    "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
+}
+SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
