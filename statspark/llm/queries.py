@@ -79,6 +79,12 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (r)
 """
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
