@@ -85,6 +85,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return quality.score(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -98,6 +107,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
