@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +61,27 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the counted rows stay within the limit; else Spark shuffles."""
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Hint a broadcast if the counted rows (or their summed weight) stay within the limit; else Spark shuffles."""
+    if weight is not None:
+        return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= limit else df
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def merged_runs(runs: Column) -> Column:
+    """Sorted runs [s, e) with overlapping and touching ones joined."""
+    done = F.array().cast("array<struct<s:int,e:int>>")
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["e"] > 0, F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["done"])
+
+    def step(acc: Column, r: Column) -> Column:
+        longer = F.struct(acc["done"].alias("done"), F.when(acc["e"] == 0, r["s"]).otherwise(acc["s"]).alias("s"), F.greatest(acc["e"], r["e"]).alias("e"))
+        return F.when(r["s"] <= acc["e"], longer).otherwise(F.struct(closed(acc).alias("done"), r["s"].alias("s"), r["e"].alias("e")))
+
+    return F.aggregate(runs, F.struct(done.alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e")), step, closed)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with bounded bytes in a text column."""
     texts = batch.column(column)

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import merged_runs
+
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_ROWS = 500_000
@@ -86,15 +88,7 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
         matched = together.where((F.col("at") < 0) | (inside & same))
     found = matched.select("row", "doc_id", F.size("words").alias("n_words"), F.when(F.col("at") >= 0, F.struct(start.alias("s"), (start + length).alias("e"))).alias("run"), F.when(F.col("at") >= 0, F.col("items")).alias("items"))
     per_doc = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("run")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    merged = F.aggregate(
-        "runs",
-        F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e")),
-        lambda acc, r: F.when(r["s"] <= acc["e"], F.struct(acc["done"].alias("done"), F.when(acc["e"] == 0, r["s"]).otherwise(acc["s"]).alias("s"), F.greatest(acc["e"], r["e"]).alias("e"))).otherwise(
-            F.struct(F.when(acc["e"] > 0, F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["done"]).alias("done"), r["s"].alias("s"), r["e"].alias("e"))
-        ),
-        lambda acc: F.when(acc["e"] > 0, F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["done"]),
-    )
-    return per_doc.select("row", "doc_id", "n_words", merged.alias("hits"), "items")
+    return per_doc.select("row", "doc_id", "n_words", merged_runs(F.col("runs")).alias("hits"), "items")
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +38,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixdedup
+
+    return suffixdedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +93,18 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's folders; an id divisible by 50 is the licence file of its folder of 1000 ids."""
+    from . import license as licences
+
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("part/"), F.col("doc_id"), F.lit(".txt")))
+    files = docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    judged = licences.own_licences(spark, files).drop("text")
+    return licences.inherit(settled(judged)).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "found_in")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -104,9 +124,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
