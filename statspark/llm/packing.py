@@ -20,7 +20,6 @@ a null id is kept; an empty table gives no piece; other columns are not read.
 from __future__ import annotations
 
 import bisect
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,25 +30,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pieces, settled
+from .textkit import LOWER, U64, byte_values, prefix_hash, slices, span_hash, text_bytes, word_spans
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 64
 END_ID = 2
-#: Entries of the word cache of one Python worker (about 150 bytes each).
-CACHE_WORDS = 500_000
+#: Entries of the word table of one Python worker (about 40 bytes each).
+CACHE_WORDS = 4_000_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, merge_group long"
 
 
+def _marks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blank, letter, mark = (np.zeros(256, bool) for _ in range(3))
+    blank[[9, 10, 13, 32]] = True
+    letter[65:91] = letter[97:123] = True
+    mark[list(b".,;:!?")] = True
+    return blank, letter, mark
+
+
+_BLANK, _LETTER, _MARK = _marks()
+_BYTES = byte_values(59)
+
+
 class WordTokenizer:
-    """Exact ids of a word tokenizer, through bounded caches of blank-separated words and their parts.
+    """Exact ids of a word tokenizer, from a table of words by hash.
 
     Blanks never lie inside a token of this vocabulary and are dropped, so the
-    ids of a text are those of its words in order. A plain word (letters, with
-    at most one mark after them) is the ids of the lower-case letters and those
-    of the mark; such parts end in a token that closes a word, so many unseen
-    ones are encoded in one call. Any other unseen word is encoded by itself.
+    ids of a text are those of its blank-separated words in order. A plain word
+    (Latin letters, with at most one mark after them) is its letters, then its
+    mark. ASCII letters are lower-cased by the tokenizer itself, so words that differ in
+    their case only share an entry. Words are found in a slice, hashed (64 bits,
+    length included) and looked up as arrays; only unseen ones are encoded,
+    plain ones many in a call, as each ends in a token that closes a word. Texts
+    with the opening of a special token are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
@@ -57,61 +72,107 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _single(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(got.ids, "<u4").tobytes()
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), 256):
-            some = parts[start : start + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
-            if len(ends) != len(some):  # a part that isn't one word of the vocabulary's pattern
-                for part in some:
-                    self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(some, ends.tolist(), strict=True):
-                self.parts[part] = raw[at:end]
-                at = end
-
-    def _learn(self, unseen: set[str]) -> None:
-        plain: list[tuple[str, str, str]] = []
-        other: list[str] = []
-        for word in unseen:
-            low = word.lower()
-            if len(word) < 64 and (word.isascii() or ("\u03a3" not in word and unicodedata.is_normalized("NFC", word))):
-                if low.isalpha():
-                    plain.append((word, low, ""))
-                    continue
-                if low[-1] in ".,;:!?" and low[:-1].isalpha():
-                    plain.append((word, low[:-1], low[-1]))
-                    continue
-            other.append(word)
-        self._learn_parts(list({p for _, a, b in plain for p in (a, b) if p} - self.parts.keys()))
-        parts = self.parts
-        for word, head, mark in plain:
-            self.words[word] = parts[head] + parts[mark] if mark else parts[head]
-        self._single(other)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        if len(self.words) > self.limit:
-            self.words = {"": b""}
-        if len(self.parts) > self.limit:
-            self.parts = {}
-        unseen = set().union(*split) - self.words.keys()
-        if unseen:
-            self._learn(unseen)
-        words = self.words
-        return [b"".join([words[w] for w in of]) for of in split]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.starts, self.counts = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words end to end, and their counts."""
+        ids, counts = [], []
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            found = self._ids(" ".join(some))
+            ends = np.flatnonzero(self.closes[found]) + 1
+            if len(ends) == len(some):
+                ids.append(found)
+                counts.append(np.diff(ends, prepend=0))
+            else:
+                each = [self._ids(w) for w in some]
+                ids.extend(each)
+                counts.append(np.array([len(x) for x in each]))
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self, hashes: np.ndarray, words: list[str], plain: np.ndarray) -> None:
+        first = np.flatnonzero(plain)
+        rest = np.flatnonzero(~plain)
+        ids, counts = self._encode_plain([words[i] for i in first])
+        others = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)] if len(rest) else []
+        whole = np.concatenate([ids, *others]) if others else ids
+        counts = np.concatenate([counts, [len(x) for x in others]]).astype(np.int64)
+        while self.used + len(whole) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(whole)] = whole
+        starts = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.used += len(whole)
+        merged = np.concatenate([self.hashes, hashes[np.concatenate([first, rest])]])
+        order = np.argsort(merged, kind="stable")
+        self.hashes = merged[order]
+        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a byte array end to end, and their offsets."""
+        if len(self.hashes) > self.limit:
+            self._clear()
+        low = LOWER[data]
+        starts, ends = word_spans(low, offsets, ~_BLANK)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        lead = low == 0xC3
+        letter = _LETTER[low] | lead
+        tail = np.zeros(len(low), bool)
+        tail[1:] = lead[:-1] & (low[1:] >= 0x80) & (low[1:] < 0xC0) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+        letters = np.concatenate([[0], np.cumsum(letter | tail)])
+        inside, size = letters[ends] - letters[starts], ends - starts
+        marked = (inside == size - 1) & (size > 1) & _MARK[low[ends - 1]]
+        # Parts: the word without its mark, then the mark.
+        place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(marked)[:-1]])
+        total = len(starts) + int(marked.sum())
+        part_start, part_end, plain = np.empty(total, np.int64), np.empty(total, np.int64), np.zeros(total, bool)
+        part_start[place], part_end[place] = starts, ends - marked
+        plain[place] = (inside == size) | marked
+        part_start[place[marked] + 1], part_end[place[marked] + 1] = ends[marked] - 1, ends[marked]
+        key = span_hash(prefix_hash(_BYTES[low]), part_start, part_end)
+        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        held = at < len(self.hashes)
+        known[held] = self.hashes[at[held]] == distinct[held]
+        if not known.all():
+            new = first[~known]
+            raw = low.tobytes()
+            words = [raw[i:j].decode("utf-8") for i, j in zip(part_start[new].tolist(), part_end[new].tolist(), strict=True)]
+            self._learn(distinct[~known], words, plain[new])
+            at = np.searchsorted(self.hashes, distinct)
+        counts, source = self.counts[at][inverse], self.starts[at][inverse]
+        upto = np.cumsum(counts)
+        ids = self.pool[np.arange(int(upto[-1])) + np.repeat(source - upto + counts, counts)]
+        bounds = np.searchsorted(part_start, offsets)
+        return ids, np.concatenate([[0], upto])[bounds]
+
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a column."""
+        data, offsets = text_bytes(texts)
+        out: list[bytes] = []
+        for a, b in slices(offsets, 4 << 20):
+            piece = data[offsets[a] : offsets[b]]
+            ids, at = self.encode(piece, offsets[a : b + 1] - offsets[a])
+            raw = ids.astype("<u4", copy=False).tobytes()
+            found = [raw[4 * i : 4 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            if b"<|" in piece.tobytes():
+                for row in range(a, b):
+                    text = data[offsets[row] : offsets[row + 1]].tobytes()
+                    if b"<|" in text:
+                        found[row - a] = self._ids(text.decode("utf-8")).astype("<u4").tobytes()
+            out.extend(found)
+        return out
 
 
 class _Packer:
@@ -213,9 +274,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, text: str =
         packer = _Packer(partition << 40, window, open_windows)
         tokenizer = WordTokenizer(tokenizer_path)
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text"):
                 done: list[tuple] = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_texts(batch.column("text")), strict=True):
                     done.extend(packer.place(doc_id, ids + end))
                 if done:
                     yield _batch(done, None)
