@@ -39,16 +39,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, merged_runs, pieces, settled, sized
 from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices, text_bytes
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 128
 BLOCK = 4000
-#: List entries (about 24 bytes each) up to which a table of lists is sent to every executor.
-CELLS = 1_000_000
+#: Grams (16 bytes each) and list entries (40 bytes each) up to which a table is sent to every executor.
+GRAMS, CELLS = 2_000_000, 1_500_000
 ABSENT = 256
 _BYTES = byte_values(97)
 _TOP = U64(0xFFFFFFFFFF000000)
@@ -98,7 +98,7 @@ ANCHOR_SCHEMA = "uid long, pos int, gram long, segment long"
 
 def _parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Row ranges with their byte ranges, and the range whose anchors count; a text beyond the place limit comes in overlapping parts."""
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1 << 20):
         low, high = int(offsets[a]), int(offsets[b])
         if high - low <= _PLACE_LIMIT:
             yield a, b, low, high, low, high
@@ -126,7 +126,7 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-SEGMENT_SCHEMA = "gram long, segment long, left binary, right binary"
+SEGMENT_SCHEMA = "gram long, segment long, single boolean, left binary, right binary"
 
 
 def _cut_segments(length: int, gram: int):
@@ -141,7 +141,7 @@ def _cut_segments(length: int, gram: int):
                 raw = memoryview(raw)
                 for w in wanted.as_py():
                     p = w["pos"]
-                    rows.append((w["gram"], w["segment"], bytes(raw[max(0, p - reach) : p]), bytes(raw[p + gram : p + length])))
+                    rows.append((w["gram"], w["segment"], w["single"], bytes(raw[max(0, p - reach) : p]), bytes(raw[p + gram : p + length])))
                 if len(rows) > 20_000:
                     yield _segment_batch(rows)
                     rows = []
@@ -153,7 +153,8 @@ def _cut_segments(length: int, gram: int):
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["gram", "segment", "left", "right"])
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "segment", "single", "left", "right"])
 
 
 def _symbols(parts: list[bytes], reach: int, right_aligned: bool) -> np.ndarray:
@@ -251,14 +252,14 @@ def _compare(length: int, gram: int, block: int):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         groups = np.array([r[0] for r in rows], np.int64)
-        flags = repeated_distances(groups, _symbols([r[2] for r in rows], reach, True), _symbols([r[3] for r in rows], reach, False), gram, length)
+        flags = repeated_distances(groups, _symbols([r[3] for r in rows], reach, True), _symbols([r[4] for r in rows], reach, False), gram, length)
         any_hit = flags.any(axis=0)
-        return _range_batch([(r[0], r[1], low, high) for i, r in enumerate(rows) if any_hit[i] for low, high in _spans(flags[:, i])])
+        return _range_batch([(r[0], r[1], low, high) for i, r in enumerate(rows) if any_hit[i] and r[2] for low, high in _spans(flags[:, i])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "segment", "left", "right")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "segment", "single", "left", "right")), strict=True):
                 if len(held) >= block and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
@@ -269,7 +270,7 @@ def _compare(length: int, gram: int, block: int):
     return run
 
 
-HOT_SCHEMA = "gram long, segment long, distance int, window long"
+HOT_SCHEMA = "gram long, segment long, single boolean, distance int, window long"
 
 
 def _hash_windows(length: int, gram: int):
@@ -278,8 +279,8 @@ def _hash_windows(length: int, gram: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for g, s, left, right in zip(*(batch.column(n).to_pylist() for n in ("gram", "segment", "left", "right")), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for g, s, single, left, right in zip(*(batch.column(n).to_pylist() for n in ("gram", "segment", "single", "left", "right")), strict=True):
                 data = np.frombuffer(left + right, np.uint8)
                 sums = prefix_hash(_BYTES[data])
                 distance = np.arange(max(0, reach - len(right)), len(left) + 1)
@@ -288,14 +289,22 @@ def _hash_windows(length: int, gram: int):
                 low, high = len(left) - distance, len(left) + reach - distance
                 _, down = powers(len(sums))
                 window = mix((sums[high] - sums[low]) * down[low])
-                for column, values in zip(out, (np.full(len(distance), g), np.full(len(distance), s), distance.astype(np.int32), signed(window)), strict=True):
+                for column, values in zip(out, (np.full(len(distance), g), np.full(len(distance), s), np.full(len(distance), single), distance.astype(np.int32), signed(window)), strict=True):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "segment", "distance", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "segment", "single", "distance", "window"])
 
     return run
 
 
+def _joined_distances() -> Column:
+    """Runs of consecutive distances of a set, as (low, high)."""
+    points = F.transform(F.array_sort("d"), lambda x: F.struct(x.alias("s"), (x + 1).alias("e")))
+    # merged_runs starts from 0, so everything is moved up by one
+    moved = F.transform(points, lambda r: F.struct((r["s"] + 1).alias("s"), (r["e"] + 1).alias("e")))
+    return F.transform(merged_runs(moved), lambda r: F.struct((r["s"] - 1).alias("low"), (r["e"] - 2).alias("high")))
+
+
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -333,21 +342,23 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with Scratch(spark) as scratch:
         found = scratch.table(source.select("uid", "text").mapInArrow(_find_anchors(length, gram), ANCHOR_SCHEMA))
-        several = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high")).where("n > 1")
-        several = scratch.table(several.select("gram", (F.col("low") < F.col("high")).alias("unlike")))
-        repeated = scratch.table(found.join(sized(several), "gram"))
-        kinds = scratch.table(repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at"), F.max("unlike").alias("unlike")))
-        wanted = kinds.where("unlike").select("at.uid", F.struct("at.pos", "gram", "segment").alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
+        several = scratch.table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+        repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi"))
+        kinds = scratch.table(repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")))
+        unlike = scratch.table(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
+        mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
+        wanted = scratch.table(mixed.select("at.uid", F.struct("at.pos", "gram", "segment", (F.col("n") == 1).alias("single")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted")))
         segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(_cut_segments(length, gram), SEGMENT_SCHEMA))
-        hot = segments.groupBy("gram").count().where(F.col("count") > block).select("gram")
-        hot = settled(hot)
-        usual = segments.join(sized(hot), "gram", "left_anti") if not hot.isEmpty() else segments
+        hot = settled(segments.groupBy("gram").count().where(F.col("count") > block).select("gram"))
+        some_hot = not hot.isEmpty()
+        usual = segments.join(sized(hot), "gram", "left_anti") if some_hot else segments
         ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(_compare(length, gram, block), RANGE_SCHEMA)
-        if not hot.isEmpty():
+        if some_hot:
             windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(_hash_windows(length, gram), HOT_SCHEMA)
             counted = windows.groupBy("gram", "distance", "window").agg(F.count("*").alias("n")).where("n > 1")
-            again = windows.join(counted, ["gram", "distance", "window"], "left_semi")
-            ranges = ranges.unionByName(again.select("gram", "segment", F.col("distance").alias("low"), F.col("distance").alias("high")))
+            again = windows.where("single").join(counted, ["gram", "distance", "window"], "left_semi")
+            ranges = ranges.unionByName(again.groupBy("gram", "segment").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances())))
+        # Every occurrence of a kind that occurs twice is covered whole; the ranges are of kinds that occur once.
         whole = kinds.where("n > 1").select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"))
         ranges = scratch.table(whole.unionByName(ranges))
         cover = repeated.select("uid", "pos", "gram", "segment").join(ranges, ["gram", "segment"])
