@@ -270,14 +270,12 @@ def q_auto_association(spark, d):
     return small(spark, [(x["variable_1"], x["variable_2"], x["method"], rounded(x["statistic"]), x["sample_count"]) for x in r.tables[0].rows()], "variable_1 string, variable_2 string, method string, statistic double, sample_count long")
 
 
-_CONDITIONS = [("c1", F.col("o_totalprice") > 150000), ("c2", F.col("o_orderpriority") < "3"), ("c3", F.col("o_orderkey") % 3 == 0)]
-
-
 @add("cochran_q_related_binary", """
 WITH b AS (SELECT (o_totalprice > 150000)::INT AS a, (o_orderpriority < '3')::INT AS b, (o_orderkey % 3 = 0)::INT AS c FROM orders), s AS (SELECT sum(a) AS ga, sum(b) AS gb, sum(c) AS gc, sum(pow(a + b + c, 2)) AS sq, count(*) AS n FROM b)
 SELECT round(2 * (3 * (ga * ga + gb * gb + gc * gc)::DOUBLE - pow(ga + gb + gc, 2)) / (3 * (ga + gb + gc) - sq), 6) AS q_statistic, n AS sample_count FROM s""")
 def q_cochran(spark, d):
-    df = table(spark, d, "orders").select(*(F.when(c, "yes").otherwise("no").alias(n) for n, c in _CONDITIONS))
+    conditions = {"c1": F.col("o_totalprice") > 150000, "c2": F.col("o_orderpriority") < "3", "c3": F.col("o_orderkey") % 3 == 0}
+    df = table(spark, d, "orders").select(*(F.when(c, "yes").otherwise("no").alias(n) for n, c in conditions.items()))
     r = op(df, "cochran_q.related_binary", {"condition_columns": ["c1", "c2", "c3"]}, metas(c="c1 c2 c3"), positive_value="yes")
     return small(spark, [(rounded(r.metric("q_statistic")), r.metric("sample_count"))], "q_statistic double, sample_count long")
 
