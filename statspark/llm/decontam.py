@@ -68,23 +68,23 @@ def windows_of(items: DataFrame, text: str = "text", key: str = "item_id", windo
 def scan(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document row: ``row``, its id, word count, merged hit runs [start, end) and item ids."""
     short = [r["n"] for r in windows.select(F.least(F.size("window_words"), F.lit(shingle)).alias("n")).distinct().collect()]
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), words_of(F.col(text)).alias("words"))
+    read = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("words"), F.xxhash64(F.col(key), F.col(text)).alias("content"))
     tokens = F.concat(
-        F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64("row").alias("token"))),
+        F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64("content").alias("token"))),
         *(F.transform(_hashes(F.col("words"), k), lambda h, i: F.struct(i.alias("at"), h.alias("token"))) for k in sorted(short)),
     )
     start, length = F.col("at") - F.col("place"), F.size("window_words")
     inside = (start >= 0) & (start + length <= F.size("words"))
     same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(length, F.lit(0))) == F.col("window_words")
     if windows.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = read.select("row", "doc_id", "words", F.inline(tokens)).join(F.broadcast(windows), "token", "left")
+        joined = read.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "words", F.inline(tokens)).join(F.broadcast(windows), "token", "left")
         matched = joined.where((F.col("at") < 0) | (F.col("place").isNotNull() & inside & same))
     else:
         # Only hashes are shuffled; candidates then meet their document's words once.
-        narrow = read.select("row", F.inline(tokens)).where("at >= 0").join(windows, "token")
-        candidates = narrow.groupBy("row").agg(F.collect_list(F.struct("at", "place", "window_words", "items")).alias("candidates"))
+        narrow = read.select("content", F.inline(tokens)).where("at >= 0").join(windows, "token").distinct()
+        candidates = narrow.groupBy("content").agg(F.collect_list(F.struct("at", "place", "window_words", "items")).alias("candidates"))
         none = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("place"), F.lit(None).cast("array<string>").alias("window_words"), F.lit(None).cast(windows.schema["items"].dataType).alias("items")))
-        together = read.join(candidates, "row", "left").select("row", "doc_id", "words", F.inline(F.concat(none, F.coalesce("candidates", F.slice(none, 1, 0)))))
+        together = read.join(candidates, "content", "left").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "words", F.inline(F.concat(none, F.coalesce("candidates", F.slice(none, 1, 0)))))
         matched = together.where((F.col("at") < 0) | (inside & same))
     found = matched.select("row", "doc_id", F.size("words").alias("n_words"), F.when(F.col("at") >= 0, F.struct(start.alias("s"), (start + length).alias("e"))).alias("run"), F.when(F.col("at") >= 0, F.col("items")).alias("items"))
     per_doc = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("run")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))

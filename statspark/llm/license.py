@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_arrow_columns
+from .common import settled, with_arrow_columns
 
 LEAST = 0.6
 
@@ -140,7 +140,8 @@ def ancestors_of(path: Column) -> Column:
 
 def inherit(judged: DataFrame, path: str = "path") -> DataFrame:
     """Fill a missing licence from the nearest ancestor directory with a licence file; ``found_in`` is then ``inherited``."""
-    rows = judged.withColumn("__row", F.monotonically_increasing_id())
+    judged = settled(judged.withColumn("__row", F.monotonically_increasing_id()))
+    rows = judged
     of_directory = judged.where(F.col("license").isNotNull() & F.col(path).rlike(LICENCE_FILE)).groupBy(directory_of(F.col(path)).alias("__dir"))
     of_directory = of_directory.agg(F.max(F.struct("license_score", "license")).alias("__of"))
     wanted = rows.where(F.col("license").isNull() & F.col(path).isNotNull()).select("__row", F.posexplode(ancestors_of(F.col(path))).alias("__far", "__dir"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,7 +100,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("part/"), F.col("doc_id"), F.lit(".txt")))
     files = docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
     judged = licences.own_licences(spark, files).drop("text")
-    return licences.inherit(settled(judged)).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "found_in")
+    return licences.inherit(judged).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "found_in")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, merged_runs, pieces, settled, sized
+from .common import Scratch, arrow_batches, merged_runs, pieces, settled, sized
 from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices, text_bytes
 
 LENGTH, GRAM = 400, 128
@@ -336,11 +336,14 @@ def _remove(keep_text: bool):
 def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
     """Per document row: id, bytes, removed bytes, removed runs, hash of the rest (and the rest itself if wanted).
 
-    ``docs`` is read several times and must give the same rows in the same partitions, as files and checkpoints do.
+    A document is told by its id where ids are unique and present, else by a 64-bit hash of id and text.
     """
     reach = length - gram
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with Scratch(spark) as scratch:
+    ids = docs.select(F.col(key).cast("long").alias("doc_id"))
+    unique = ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+    uid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select(uid.alias("uid"), "doc_id", "text")
+    with Scratch(spark) as scratch, arrow_batches(spark, 1000):
         found = scratch.table(source.select("uid", "text").mapInArrow(_find_anchors(length, gram), ANCHOR_SCHEMA))
         several = scratch.table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
         repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi"))

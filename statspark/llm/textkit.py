@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,7 +60,7 @@ def byte_values(seed: int) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the rolling base and of its inverse."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 20))
+        size = max(n, SLICE_BYTES + (1 << 16))
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             run = np.full(size, base, U64)
             run[0] = 1

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, settled
 
 BROADCAST_RULES = 200_000
 
@@ -135,7 +135,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
     """``pages`` with ``host``, ``path``, ``rule`` (host plus path, or null) and ``verdict``; rules have host, path, action."""
     added = ("host", "path", "rule", "verdict", "row")
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added or c == url]
-    named = pages.select(*kept, F.monotonically_increasing_id().alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    # Row numbers are used twice, so they are settled with the kept columns first; pass only the columns you need.
+    named = settled(pages.select(*kept, F.monotonically_increasing_id().alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")))
     clean = rules.where("host is not null and path is not null and action is not null").select(
         F.concat(host_key(F.col("host")), F.lit(")"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), "action"
     )
