@@ -1,0 +1,150 @@
+"""Personal data, URL rules and benchmark leaks against brute force."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from conftest import SF
+from helpers import UPPER, frame
+from statspark.llm import decontam, pii, queries, urlfilter
+from statspark.llm.common import Scratch
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    found = []
+    for place, kind in enumerate(pii.BASE_KINDS):
+        for m in re.finditer(pii.FIXED[kind], text):
+            value, digits = m.group(), re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in value.split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                found.append((m.start(), place, m.end()))
+    return ",".join(f"{pii.BASE_KINDS[p]}:{a}:{b}" for a, p, b in sorted(found))
+
+
+PII_TEXTS = [
+    "a@b.c_d@e.f x..y@z.q-1.w a@b mail%x@y.z.", "1.2.3.4.5 256.1.1.1 0255.000.1.00000000000000000009 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 49927398716 00000000000000",
+    "+49 (30) 123-4567.. +1 2 +123456789 +1234567890123456 tel +44 20 7946 0958", "\u00e9\U0001f600 a@b.cd \u4e2d 10.0.0.1", "+1a+12345678 90@x.y", "x" * 40_000 + "@a.b", "a." * 20_000 + "@", "1-" * 5000 + "+" * 300,
+    "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 but DE00370400440532013000", "ssn 123-45-6789 plain 123-45-6789",
+]
+
+
+def test_base_spans_match_the_plain_patterns(spark):
+    rows = [(i, t, None, None, None) for i, t in enumerate(PII_TEXTS)]
+    found = pii.find(frame(spark, rows))
+    for r in found.collect():
+        spans = [s for s in r["pii"] if s["place"] < 4]
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans) == base_spans(r["text"]), r["text"][:60]
+        assert [(s["start"], s["place"]) for s in r["pii"]] == sorted((s["start"], s["place"]) for s in r["pii"])
+    kinds = {r["doc_id"]: [s["kind"] for s in r["pii"]] for r in found.collect()}
+    assert kinds[9].count("iban") == 2
+    assert kinds[10].count("ssn") == 2  # both lie within reach of the word
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet="ab@.-_%+ 0123456789()\u00e9\n", max_size=60), min_size=20, max_size=20))
+def test_base_spans_of_random_texts(spark, texts):
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    for r in pii.find(frame(spark, rows), kinds=pii.BASE_KINDS).collect():
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii"]) == base_spans(r["text"])
+
+
+def test_redaction_replaces_spans_and_keeps_the_rest(spark):
+    rows = [(1, "mail a@b.cd now", None, None, None), (2, None, None, None, None), (3, "clean", None, None, None), (4, "+1.2.3.4567890 end", None, None, None)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(pii.find(frame(spark, rows))).collect()}
+    assert got[1] == "mail [EMAIL] now" and got[2] is None and got[3] == "clean" and got[4].endswith("] end")
+    assert pii.find(frame(spark, extra=True)).count() == 8
+
+
+def test_query_counts_agree_with_spans(spark):
+    for r in queries.op1_pii(spark, SF).where("n_email + n_ip + n_card + n_phone > 0").collect():
+        base = [s for s in r["spans"].split(",") if s.split(":")[0] in pii.BASE_KINDS]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"]
+        assert len(base) == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
+
+
+URLS = [
+    None, "no scheme", "http://Example.ORG/es/1?q=/en/1", "https://a.example.org/en/12#x", "https://notexample.org/es/", "http://x.com/fr/1", "http://x.com/frx", "http://com/de/", "http://a.b.org", "http://a.b.org/", "ftp://h.net:80/p", "://", "a://b://c.org/x", "http://org./es/", "x\ny://q.org/z",
+]
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "org", "/"), (None, "net", "/"), ("allow", "b.org", "")]
+
+
+def judged(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    if rest is None:
+        return "", "", None, "allow"
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    host = host.translate(UPPER)
+    fits = [(len(h + p), len(h), h + p, a) for a, h, p in RULES if a and host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[2], "allow" if best is None else best[3]
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_url_rules_match_brute_force(spark, limit):
+    rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 3)], "page_id long, url string, rule string").repartition(3)
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    with Scratch(spark) as scratch:
+        got = urlfilter.judge(spark, rows, rules, broadcast_rules=limit, scratch=scratch).collect()
+    assert len(got) == len(URLS) * 3
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"]), r["url"]
+    empty = rows.limit(0)
+    assert urlfilter.judge(spark, empty, rules).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(spark, rows, rules.limit(0), default="block").collect()} == {"block"}
+
+
+WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def leaks(docs, items, n=10):
+    windows = {}
+    for item, text in items:
+        w = WORDS.findall((text or "").translate(UPPER))
+        for i in range(max(1, len(w) - n + 1)):
+            if w:
+                windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        w = WORDS.findall((text or "").translate(UPPER))
+        hit, found = set(), set()
+        for k in {len(x) for x in windows}:
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) in windows:
+                    hit.update(range(i, i + k))
+                    found |= windows[tuple(w[i : i + k])]
+        ids = ",".join(sorted(str(x) for x in found if x is not None))
+        out.append((doc, len(w), len(hit), len([x for x in found if x is not None]), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
+    return out
+
+
+ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short ITEM"), (3, None), (4, ""), (5, "\u00c9t\u00e9 one two"), (6, "one two three four five six seven eight nine ten"), (10, "a a a a a a a a a a a"), (7, "x y z w v u")]
+LEAKY = [(1, "zero one two three four five six seven eight nine ten x"), (2, "one two three"), (3, "a short, item; and SHORT-ITEM"), (4, None), (5, ""), (6, "a " * 25), (7, "\u00e9t\u00e9 one two \u00c9t\u00e9 one two"), (7, "\u00c9t\u00e9 one two"), (None, "x y z w v u x y z w v u"), (8, "six seven eight nine ten eleven twelve one two three")]
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_leaks_match_brute_force(spark, limit):
+    docs = spark.createDataFrame(LEAKY, "doc_id long, text string").selectExpr("*", "1 AS words", "2 AS token")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontam.report(decontam.scan(docs, decontam.windows_of(items), broadcast_rows=limit)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(leaks(LEAKY, ITEMS), key=str)
+    none = decontam.report(decontam.scan(docs, decontam.windows_of(items.limit(0)))).collect()
+    assert len(none) == len(LEAKY) and not any(r["contaminated"] for r in none)
+    assert decontam.report(decontam.scan(docs.limit(0), decontam.windows_of(items))).count() == 0
+
+
+def test_leaks_of_the_test_table_match_brute_force(spark):
+    docs = [tuple(r) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in queries.table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    assert sorted(map(tuple, queries.op9_decontamination(spark, SF).collect())) == sorted(leaks(docs, items))
