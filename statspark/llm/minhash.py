@@ -8,15 +8,17 @@ similarity 0.8 share no key with a chance of 3e-6.
 
 1. Texts with equal sets form a class (a 128-bit digest of the sorted set); its
    representative is the least id, and only representatives go on.
-2. Keys held by several representatives make candidate pairs, in rounds: first
-   each member with the bucket's least id, then with a bucket-wise random
-   member, as far as they are not connected yet; last, all members of a bucket
-   that are still in different components. Members that are already connected are never
-   paired, so large groups of copies stay linear, and no candidate is dropped.
+2. Keys held by several representatives make candidates, in rounds: first each
+   member with the bucket's least id, then with a bucket-wise random member, as
+   far as they are not connected yet; last, the members of a bucket that are
+   still in different components. Members that are already connected are not
+   paired. Where a bucket leaves more than ``PAIRS_A_MEMBER`` such pairs a member,
+   its members outside the largest component become queries against all its
+   members, in blocks of sets compared as arrays; no candidate is dropped.
 3. A pair whose 8-bit signatures agree far less than the threshold demands (by
    more than six standard deviations) is not confirmed; the others are compared
    on their full sets, computed again from the texts of the documents involved.
-4. Links are contracted to components by large-star / small-star rounds.
+4. Links are contracted to components, by large-star / small-star rounds where they are many.
 
 Only counts reach the driver. Intermediate tables live in the shared folder.
 
@@ -37,12 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, settled, sized
+from .common import Scratch, arrow_batches, pieces, settled, sized
 from .textkit import LOWER, U64, byte_values, mix, prefix_hash, signed, slices, span_hash, text_bytes, word_spans
 
 BANDS, ROWS = 42, 6
 VALUES = BANDS * ROWS
 LEAST_AGREEMENT = 0.62
+#: Unconnected pairs a member of a bucket up to which they are listed, and the members of a block beyond.
+PAIRS_A_MEMBER, BLOCK_ROWS = 4, 256
+BLOCK_BYTES = 4 << 20
+EDGES_A_TASK = 500_000
+#: Texts of one Arrow batch.
+TEXT_ROWS = 1000
 _SEEDS = (mix(np.arange(1, VALUES // 2 + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)).tolist()
 _ORDER = np.random.default_rng(11).permutation(VALUES)
 _BYTES = byte_values(23)
@@ -158,11 +166,37 @@ def _confirm(percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Least reachable id of every node of an edge list (a, b): large-star and small-star rounds until nothing changes."""
+def _union(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least reachable ids of a bounded edge list, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    found = [(x, root(x)) for x in parent]
+    moved = [(x, r) for x, r in found if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in moved], pa.int64()), pa.array([r for _, r in moved], pa.int64())], ["id", "component"])
+
+
+def components(edges: DataFrame, one_task: int = EDGES_A_TASK) -> DataFrame:
+    """(id, component) of every node that is not the least of its component, from an edge list (a, b).
+
+    Up to a counted ``one_task`` edges (16 bytes each) one task joins them; beyond,
+    large-star and small-star rounds go on until nothing changes.
+    """
     edges = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = edges.agg(*sums).first()
+    if before[0] <= one_task:
+        return settled(edges.coalesce(1).mapInArrow(_union, "id long, component long"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -176,25 +210,83 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before = after, now
 
 
+def _packed(block: int):
+    """Rows sorted by (grp, salt) become blocks: ids, components and concatenated sets of one group."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        weight = 0
+
+        def made() -> pa.RecordBatch:
+            sizes = [len(r["members"]) // 8 for r in held]
+            cells = [[held[0]["grp"]], [[r["id"] for r in held]], [[r["component"] for r in held]], [sizes], [b"".join(r["members"] for r in held)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["grp", "ids", "components", "sizes", "hashes"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and ((r["grp"], r["salt"]) != (held[0]["grp"], held[0]["salt"]) or len(held) >= block or weight > BLOCK_BYTES):
+                    yield made()
+                    held, weight = [], 0
+                held.append(r)
+                weight += len(r["members"])
+        if held:
+            yield made()
+
+    return run
+
+
+BLOCK_SCHEMA = "grp long, ids array<long>, components array<long>, sizes array<long>, hashes binary"
+
+
+def _meet(percent: int):
+    """Links of a block of queries to a block of targets: one for each query and component it reaches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for r in batch.to_pylist():
+                targets = np.frombuffer(r["hashes"], U64)
+                sizes = np.array(r["sizes"])
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                known, place = np.unique(targets, return_inverse=True)
+                components = np.array(r["components"])
+                ids = np.array(r["ids"])
+                queries = np.frombuffer(r["q_hashes"], U64)
+                at = 0
+                for query, own, size in zip(r["q_ids"], r["q_components"], r["q_sizes"], strict=True):
+                    mine = queries[at : at + size]
+                    at += size
+                    where = np.searchsorted(known, mine)
+                    where[where == len(known)] = 0
+                    held = np.zeros(len(known), np.int64)
+                    held[where[known[where] == mine]] = 1
+                    both = np.add.reduceat(held[place], starts)
+                    linked = np.flatnonzero((100 * both >= percent * (sizes + size - both)) & (components != own))
+                    _, first = np.unique(components[linked], return_index=True)
+                    found.extend((int(query), int(ids[k])) for k in linked[first])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
 class _Linker:
     """Confirmed links between representatives, and their components so far."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> None:
-        self.scratch, self.docs, self.reps, self.k, self.percent = scratch, docs, reps, k, percent
+        self.spark, self.scratch, self.docs, self.reps, self.k, self.percent = docs.sparkSession, scratch, docs, reps, k, percent
         self.links: DataFrame | None = None
         self.found: DataFrame | None = None
-        self.tried: DataFrame | None = None
 
-    def placed(self, members: DataFrame, column: str = "rep") -> DataFrame:
-        """Members with their component so far."""
+    def placed(self, members: DataFrame, column: str = "rep", into: str = "component") -> DataFrame:
+        """Members with the component so far of one of their columns."""
         if self.found is None:
-            return members.withColumn("component", F.col(column))
-        return members.join(self.found.withColumnRenamed("id", column), column, "left").withColumn("component", F.coalesce("component", column))
+            return members.withColumn(into, F.col(column))
+        return members.join(sized(self.found.toDF(column, into)), column, "left").withColumn(into, F.coalesce(into, column))
 
     def confirm(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = settled(pairs)
         if pairs.isEmpty():
             return
@@ -203,22 +295,47 @@ class _Linker:
         near = pairs.join(signs.toDF("a", "agree_a", "n_a"), "a").join(signs.toDF("b", "agree_b", "n_b"), "b")
         near = near.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         near = settled(near.select("a", "b", "agree_a", "agree_b").mapInArrow(_agreeing, "a long, b long"))
-        self.tried = near if self.tried is None else self.tried.unionByName(near)
         if near.isEmpty():
             return
         involved = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
         texts = self.docs.join(sized(involved), "doc_id", "left_semi")
         sets = self.scratch.table(texts.mapInArrow(_sets(self.k), "id long, members binary"))
         linked = near.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b").mapInArrow(_confirm(self.percent), "a long, b long")
+        with arrow_batches(self.spark, 256):
+            self.add(linked)
+
+    def add(self, linked: DataFrame) -> None:
         links = linked.distinct() if self.links is None else linked.unionByName(self.links).distinct()
         self.links = settled(links)
         self.found = components(self.links)
 
+    def confirm_in_blocks(self, members: DataFrame) -> None:
+        """Members (key, rep, component) of crowded buckets; buckets that share members are one group."""
+        edges = members.groupBy("key").agg(F.min("rep").alias("b")).join(members.select("key", F.col("rep").alias("a")), "key")
+        groups = components(edges.select("a", "b"))
+        held = members.select("rep", "component").distinct().join(groups.toDF("rep", "grp"), "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+        held = settled(held)
+        by_component = held.groupBy("grp", "component").agg(F.count("*").alias("n"))
+        main = by_component.groupBy("grp").agg(F.max_by("component", "n").alias("main"), F.ceil(F.sum("n") / BLOCK_ROWS).alias("salts"))
+        texts = self.docs.join(sized(held.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets(self.k), "id long, members binary")
+        rows = self.scratch.table(held.withColumnRenamed("rep", "id").join(sets, "id").join(main, "grp").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))))
+
+        def blocks(df: DataFrame) -> DataFrame:
+            laid = df.select("grp", "salt", "id", "component", "members").repartition("grp", "salt").sortWithinPartitions("grp", "salt")
+            return laid.mapInArrow(_packed(BLOCK_ROWS), BLOCK_SCHEMA)
+
+        with arrow_batches(self.spark, 4):
+            targets = self.scratch.table(blocks(rows))
+            queries = self.scratch.table(blocks(rows.where("component <> main"))).toDF("grp", "q_ids", "q_components", "q_sizes", "q_hashes")
+            pairs = targets.join(queries, "grp").repartition(F.xxhash64(F.get("ids", 0), F.get("q_ids", 0)))
+            self.add(pairs.mapInArrow(_meet(self.percent), "a long, b long"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: id, set size, the least id reachable by links, and whether the row's document is that one."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with Scratch(spark) as scratch:
+    with Scratch(spark) as scratch, arrow_batches(spark, TEXT_ROWS):
         signs = scratch.table(source.mapInArrow(_sign(shingle), SIGN_SCHEMA))
         classes = signs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
         classes = scratch.table(classes)
@@ -229,19 +346,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", ke
         members = scratch.table(spread.join(sized(scratch.table(shared.select("key", "least", "some"))), "key"))
         linker = _Linker(scratch, source, reps, shingle, percent)
         linker.confirm(members.where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        for centre in ("some", None):
-            parts = linker.placed(members)
-            open_keys = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            open_members = settled(parts.join(open_keys, "key", "left_semi"))
-            if open_members.isEmpty():
-                break
-            if centre:
-                centres = linker.placed(open_members.select("key", F.col("some").alias("centre")).distinct(), "centre").withColumnRenamed("component", "of")
-                pairs = open_members.join(centres, "key").where("component <> of").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-            else:
-                other = open_members.select("key", F.col("rep").alias("b"), F.col("component").alias("of"))
-                pairs = open_members.join(other, "key").where("component < of").select(F.col("rep").alias("a"), "b")
-            linker.confirm(pairs)
+        centred = linker.placed(linker.placed(members), "some", "of")
+        linker.confirm(centred.where("component <> of").select(F.col("rep").alias("a"), F.col("some").alias("b")))
+        parts = linker.placed(members.select("key", "rep"))
+        counts = parts.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
+        counts = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq")).where("n * n > sq")
+        left = counts.select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2 > PAIRS_A_MEMBER * F.col("n")).alias("crowded"))
+        unconnected = settled(parts.join(left, "key"))
+        few = unconnected.where("not crowded")
+        other = few.select("key", F.col("rep").alias("b"), F.col("component").alias("of"))
+        linker.confirm(few.join(other, "key").where("component < of").select(F.col("rep").alias("a"), "b"))
+        crowd = unconnected.where("crowded").select("key", "rep")
+        if not crowd.isEmpty():
+            linker.confirm_in_blocks(linker.placed(crowd))
         whole = signs.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
         placed = linker.placed(whole.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))))
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
