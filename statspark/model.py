@@ -189,11 +189,14 @@ class Result:
 
 
 def strict_json(value: Any) -> Any:
-    """Values JSON can hold: NaN and infinities become null, times ISO text; unknown types are refused."""
+    """Values JSON can hold: NaN and infinities become null, times ISO text; unknown types are refused.
+
+    Floats keep 13 significant digits, beyond the noise of sums in another order.
+    """
     if value is None or isinstance(value, (str, bool, int)):
         return value
     if isinstance(value, float):
-        return value if math.isfinite(value) else None
+        return float(f"{value:.13g}") if math.isfinite(value) else None
     if hasattr(value, "item") and not isinstance(value, (bytes, bytearray)) and getattr(value, "shape", ()) == ():
         return strict_json(value.item())
     if isinstance(value, (dt.datetime, dt.date, dt.time)):

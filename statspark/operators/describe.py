@@ -220,17 +220,30 @@ def describe(df: DataFrame, columns: list[str], statistics: list[str], digits: i
     return out, raw
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, n: int, iqr: float | None) -> dict[str, Any]:
-    """Counts of bins whose number is the larger of Sturges' and Freedman and Diaconis'."""
-    span = high - low
-    sturges = math.log2(n) + 1
-    width = min(span / sturges, 2 * iqr / n ** (1 / 3)) if iqr else span / sturges
-    bins = max(1, math.ceil(span / width)) if span > 0 else 1
-    bins = min(bins, 10_000)
-    v = finite(col(column).cast("double"))
-    place = F.least(F.floor((v - low) / span * bins), F.lit(bins - 1)) if span > 0 else F.lit(0)
-    counts = {r["b"]: r["n"] for r in df.where(v.isNotNull()).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {"edges": [low + span * i / bins for i in range(bins + 1)] if span > 0 else [low - 0.5, low + 0.5], "counts": [counts.get(i, 0) for i in range(bins)]}
+def histograms(df: DataFrame, specs: list[tuple[str, float, float, int, float | None]]) -> list[dict[str, Any]]:
+    """Histograms of (column, low, high, count, iqr), all columns in one grouped count.
+
+    The number of bins is the larger of Sturges' and Freedman and Diaconis'.
+    """
+    cells, sizes = [], []
+    for k, (column, low, high, n, iqr) in enumerate(specs):
+        span = high - low
+        width = span / (math.log2(n) + 1)
+        if iqr:
+            width = min(width, 2 * iqr / n ** (1 / 3))
+        bins = min(10_000, max(1, math.ceil(span / width))) if span > 0 else 1
+        v = finite(col(column).cast("double"))
+        place = F.least(F.floor((v - low) / span * bins), F.lit(bins - 1)) if span > 0 else F.when(v.isNotNull(), 0)
+        cells.append(F.struct(F.lit(k).alias("k"), place.cast("long").alias("b")))
+        sizes.append(bins)
+    if not cells:
+        return []
+    counts = {(r["k"], r["b"]): r["n"] for r in df.select(F.inline(F.array(*cells))).where("b is not null").groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for k, (_, low, high, _, _) in enumerate(specs):
+        edges = [low + (high - low) * i / sizes[k] for i in range(sizes[k] + 1)] if high > low else [low - 0.5, low + 0.5]
+        out.append({"edges": edges, "counts": [counts.get((k, i), 0) for i in range(sizes[k])]})
+    return out
 
 
 @operator("descriptive_statistics.basic", MODULE, _X, {"statistics": {"type": "array", "items": {"type": "string", "enum": STATISTICS}, "uniqueItems": True, "default": _DEFAULT_STATISTICS}, "round_digits": {"type": "integer", "minimum": 0, "maximum": 12, "default": 4}})
@@ -239,11 +252,12 @@ def descriptive(run: Run) -> Result:
     columns, wanted = run.columns("x_columns"), run.params["statistics"]
     rows, raw = describe(run.df, columns, list(dict.fromkeys([*wanted, "q1", "median", "q3"])), run.params["round_digits"])
     result = Result([Metric("field_count", len(columns))], [Table("descriptive_statistics", [{k: r[k] for k in ("field", *wanted)} for r in rows])])
-    for i, (c, r) in enumerate(zip(columns, raw, strict=True)):
-        if r["count"] and r["min"] == r["max"]:
+    drawn = [(i, c, r) for i, (c, r) in enumerate(zip(columns, raw, strict=True)) if r["count"]]
+    shapes = histograms(run.df, [(c, r["min"], r["max"], r["count"], r["iqr"]) for _, c, r in drawn])
+    for (i, c, r), shape in zip(drawn, shapes, strict=True):
+        if r["min"] == r["max"]:
             result.warn("CONSTANT_COLUMN", "all values are equal", column=c)
-        if r["count"]:
-            result.charts.append(Chart(f"distribution_{i + 1}", "histogram_boxplot", histogram(run.df, c, r["min"], r["max"], r["count"], r["iqr"]) | {"box": [r["min"], r["q1"], r["median"], r["q3"], r["max"]]}, {"field": c}))
+        result.charts.append(Chart(f"distribution_{i + 1}", "histogram_boxplot", shape | {"box": [r["min"], r["q1"], r["median"], r["q3"], r["max"]]}, {"field": c}))
     return result
 
 

@@ -64,6 +64,16 @@ def test_descriptive_statistics_match_pandas(spark):
             assert r[k] == pytest.approx(v, abs=1e-9), k
 
 
+def test_histograms_count_every_value_once(spark):
+    pdf = fixtures.build().assign(x3=2.0)
+    result = run(spark, "descriptive_statistics.basic", pdf)
+    assert [sum(c.data["counts"]) for c in result.charts] == [90, 90, 90]
+    x = pdf["x1"]
+    bins = len(result.charts[0].data["counts"])
+    assert result.charts[0].data["counts"] == np.histogram(x, bins)[0].tolist() and bins == len(np.histogram_bin_edges(x, "auto")) - 1
+    assert [w.code for w in result.warnings] == ["CONSTANT_COLUMN"]
+
+
 def test_infinities_and_nans_count_as_missing(spark):
     pdf = fixtures.build()
     pdf.loc[0, "x1"], pdf.loc[1, "x1"] = float("inf"), float("nan")
