@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
-from ..model import ROW_ID
+from ..model import ROW_ID, data_error
 from .storage import settled
 
 #: Rows up to which one sorted partition numbers them all; beyond, ranges are numbered side by side.
@@ -51,3 +52,18 @@ def shifted(df: DataFrame, columns: list[str], offsets: list[int], single_sort_r
     both = own.withColumn("__own", F.lit(True)).unionByName(ahead.withColumn("__own", F.lit(False)))
     local = Window.partitionBy("__block").orderBy(POSITION)
     return both.withColumns({f"{c}__{k}": F.lead(col(c), k).over(local) for c in columns for k in offsets}).where("__own").drop("__own", "__block")
+
+
+def check_steps(df: DataFrame, order: str, equal: bool, least_rows: int = 2) -> None:
+    """Order values must rise from row to row of their order, by equal steps if so wanted; one aggregate over differences."""
+    kind = df.schema[order].dataType
+    number = col(order).cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(col(order).cast("timestamp")).cast("double")
+    placed = shifted(with_position(df.select(col(order), number.alias("__t"), ROW_ID), order), ["__t"], [1])
+    step = F.col("__t__1") - F.col("__t")
+    n, low, high = placed.agg(F.count(F.lit(1)), F.min(step), F.max(step)).first()
+    if n < least_rows:
+        raise data_error("too few rows", count=n)
+    if low is None or low <= 0:
+        raise data_error("order values do not rise", column=order)
+    if equal and high != low:
+        raise data_error("order values are not equally spaced", column=order)

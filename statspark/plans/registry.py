@@ -36,6 +36,9 @@ class Slot:
     maximum: float | None = None
 
 
+CONSTRAINTS = frozenset({"slots_disjoint", "total_min_items", "total_max_items", "requires_slot", "exact_category_count", "min_rows", "time_order", "equal_interval"})
+
+
 @dataclass(frozen=True)
 class Constraint:
     kind: str
@@ -140,6 +143,8 @@ def check_catalogue() -> list[str]:
             problems.append(f"{key}: a key is algorithm.method")
         ids = {s.id for s in op.slots}
         for c in op.constraints:
+            if c.kind not in CONSTRAINTS:
+                problems.append(f"{key}: unknown constraint {c.kind}")
             if set(c.slots) - ids:
                 problems.append(f"{key}: constraint {c.kind} names unknown slots")
         for name, schema in op.parameters.items():

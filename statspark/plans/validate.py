@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import normalised
 from ..model import ROW_ID, Context, column_error, data_error
-from .order import with_row_id
+from .order import check_steps, with_row_id
 from .registry import Operator, Run
 from .schema import resolve
 
@@ -119,4 +119,8 @@ def prepare(op: Operator, df: DataFrame, slots: dict[str, list[str]], parameters
         for i, (_, complaint) in enumerate(checks):
             if found := complaint(row[i]):
                 raise found
+    for rule in op.constraints:
+        if rule.kind in ("time_order", "equal_interval"):
+            for name in (c for s in rule.slots for c in slots.get(s, [])):
+                check_steps(clean, name, rule.kind == "equal_interval")
     return Run(clean, slots, params, context)

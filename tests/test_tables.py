@@ -160,3 +160,12 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         slots, params = fixtures.CASES[key]
         got = [run_operation(spark.createDataFrame(pdf).repartition(n), fixtures.request(key, slots, params, pdf)).table(name).rows() for n in (1, partitions)]
         assert got[0] == got[1], key
+
+
+def test_spacing_and_order_are_checked(spark):
+    slots = {"value_columns": ["v"], "order_column": ["t"]}
+    good = pd.DataFrame({"t": [0.0, 2.0, 4.0, 6.0], "v": [1.0, 2.0, 3.0, 4.0]})
+    assert run(spark, "data_downsampling.filtered_decimate", good, slots, factor=2, filter_type="fir").data.count() == 2
+    for times in ([0.0, 2.0, 5.0, 6.0], [0.0, 2.0, 2.0, 4.0], [0.0, 2.0, None, 6.0]):
+        with pytest.raises(OperatorError):
+            run(spark, "data_downsampling.filtered_decimate", good.assign(t=times), slots, factor=2)
