@@ -17,6 +17,7 @@ from ..functions.linalg import canonical_correlations
 from ..model import ROW_ID, Chart, Metric, Result, Table, column_error, data_error
 from ..plans.cores import chi_square, grid_matrix, mid_ranks, moments
 from ..plans.order import shifted, with_position
+from ..plans.quantiles import exact_quantiles
 from ..plans.registry import BOTH, CATEGORICAL, DISCRETE, NUMERIC, ORDERING, QUANTITATIVE, Constraint, Run, Slot, disjoint, operator
 
 MODULE = "statistical_association"
@@ -492,7 +493,7 @@ def _runs(run: Run, kind: str) -> Result:
             sign = codes_in_order(text, levels)
         else:
             value = col(c).cast("double")
-            cut = float(p["cut_value"]) if kind == "custom_cut" else run.df.agg(F.percentile(value, 0.5)).first()[0]
+            cut = float(p["cut_value"]) if kind == "custom_cut" else (exact_quantiles(run.df, [value], [0.5])[0] or [None])[0]
             if cut is None:
                 raise data_error("column has no values", column=c)
             sign = cut_sign(value, cut, p["ties"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, finite
 from ..model import data_error
+from ..plans.quantiles import exact_quantiles
 
 
 def equal_width_edges(low: float, high: float, count: int) -> list[float]:
@@ -31,8 +32,7 @@ def bin_edges(df: DataFrame, column: str, method: str, count: int) -> tuple[list
         if row["low"] is None:
             raise data_error("column has no finite values", column=column)
         return equal_width_edges(row["low"], row["high"], count), False
-    shares = F.array(*(F.lit(i / count) for i in range(count + 1)))
-    found = df.agg(F.percentile(value, shares).alias("q")).first()["q"]
+    found = exact_quantiles(df, [value], [i / count for i in range(count + 1)])[0]
     if found is None:
         raise data_error("column has no finite values", column=column)
     edges = sorted(set(found))

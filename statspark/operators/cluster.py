@@ -10,7 +10,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
 from ..model import ROW_ID, Chart, Metric, Result, Table, data_error
 from ..plans.cores import moments
 from ..plans.features import Design, complete, design

@@ -16,6 +16,7 @@ from ..functions.columns import canonical_text, col, finite
 from ..model import ROW_ID, Chart, Metric, Result, Table, data_error, parameter_error
 from ..plans.cores import chi_square, grid_matrix
 from ..plans.order import with_position
+from ..plans.quantiles import exact_quantiles
 from ..plans.registry import ANY, BOTH, CATEGORICAL, DISCRETE, NUMERIC, QUANTITATIVE, Constraint, Run, Slot, disjoint, operator
 from .bins import bin_code, bin_edges, bin_labels
 
@@ -194,20 +195,19 @@ def _rounded(value: float | None, digits: int) -> float | None:
 
 
 def describe(df: DataFrame, columns: list[str], statistics: list[str], digits: int) -> tuple[list[dict[str, Any]], list[dict[str, float]]]:
-    """Statistics of finite values, all columns in one aggregate; infinite values count as missing."""
+    """Statistics of finite values, all columns in one aggregate (and exact quantiles); infinite values count as missing."""
     need_quantiles = bool({"q1", "median", "q3", "iqr"} & set(statistics))
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         v = finite(col(c).cast("double"))
         aggs += [f(v).alias(f"{n}{i}") for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp), ("low", F.min), ("high", F.max), ("g1", F.skewness), ("g2", F.kurtosis))]
-        if need_quantiles:
-            aggs.append(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"))
     row = df.agg(*aggs).first()
+    quartiles = exact_quantiles(df, [finite(col(c).cast("double")) for c in columns], [0.25, 0.5, 0.75]) if need_quantiles else [None] * len(columns)
     out, raw = [], []
     for i, c in enumerate(columns):
         n, mean, var, low, high = (row[f"{k}{i}"] for k in ("n", "mean", "var", "low", "high"))
         sd = math.sqrt(var) if n > 1 and var is not None else None
-        q1, q2, q3 = row[f"q{i}"] if need_quantiles and row[f"q{i}"] else (None, None, None)
+        q1, q2, q3 = quartiles[i] or (None, None, None)
         constant = n > 0 and low == high
         whole = {
             "count": n, "missing": row["rows"] - n, "mean": mean, "std": sd, "variance": var if n > 1 else None, "min": low, "q1": q1, "median": q2, "q3": q3, "max": high,

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.columns import canonical_text, col, finite
 from ..functions.special import corrected_skewness
 from ..model import ROW_ID, Metric, Result, Table, column_error, data_error, parameter_error
+from ..plans.quantiles import exact_quantiles
 from ..plans.registry import ANY, BOTH, DISCRETE, NUMERIC, QUANTITATIVE, Run, Slot, operator
 from .bins import bin_code, bin_edges
 
@@ -152,7 +153,7 @@ PREVIEW = 20
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str, params: dict[str, Any]) -> dict[str, tuple[str, float, float]]:
-    """Method and bounds of each column, with one aggregate for all (a second one for MAD)."""
+    """Method and bounds of each column: one aggregate for all, then exact quantiles where the method needs them."""
     value = {c: col(c).cast("double") for c in columns}
     aggs = []
     for i, c in enumerate(columns):
@@ -160,7 +161,6 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str, params: dict[
         aggs += [
             F.count(v).alias(f"n{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.count(F.when(F.abs(v) == float("inf"), 1)).alias(f"inf{i}"),
             F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"sd{i}"), F.skewness(v).alias(f"skew{i}"),
-            F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
         ]
     row = df.agg(*aggs).first()
     chosen: dict[str, str] = {}
@@ -173,14 +173,14 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str, params: dict[
             raise data_error("column is constant", column=c)
         skew = corrected_skewness(row[f"skew{i}"], row[f"n{i}"])
         chosen[c] = ("mad" if skew is not None and abs(skew) > 1 else "iqr") if method == "auto" else method
+    ranked = [c for c in columns if chosen[c] in ("mad", "iqr")]
+    quartiles = dict(zip(ranked, exact_quantiles(df, [value[c] for c in ranked], [0.25, 0.5, 0.75]), strict=True)) if ranked else {}
     by_mad = [c for c in columns if chosen[c] == "mad"]
-    spread = {}
-    if by_mad:
-        second = df.agg(*(F.percentile(F.abs(value[c] - F.lit(row[f"q{columns.index(c)}"][1])), 0.5).alias(f"m{i}") for i, c in enumerate(by_mad))).first()
-        spread = {c: second[f"m{i}"] for i, c in enumerate(by_mad)}
+    gaps = exact_quantiles(df, [F.abs(value[c] - F.lit(quartiles[c][1])) for c in by_mad], [0.5]) if by_mad else []
+    spread = {c: g[0] for c, g in zip(by_mad, gaps, strict=True)}
     out = {}
     for i, c in enumerate(columns):
-        q1, median, q3 = row[f"q{i}"]
+        q1, median, q3 = quartiles.get(c, (0.0, 0.0, 0.0))
         if chosen[c] == "custom":
             given = params["bounds"].get(c)
             if given is None:
@@ -223,10 +223,16 @@ def _handle(run: Run, method: str) -> Result:
     valid = {c: F.when(inside[c], col(c).cast("double")) for c in columns}
     action = params["action"]
     aggs = [F.count(F.when(outside[c], 1)).alias(f"n{i}") for i, c in enumerate(columns)]
-    pick = {"mean": F.avg, "median": lambda v: F.percentile(v, 0.5), "mode": lambda v: F.mode(v, True)}.get(action)
-    if pick:
-        aggs += [pick(valid[c]).alias(f"r{i}") for i, c in enumerate(columns)]
+    if action == "mean":
+        aggs += [F.avg(valid[c]).alias(f"r{i}") for i, c in enumerate(columns)]
     row = run.df.agg(*aggs).first()
+    new_values: dict[str, float | None] = {c: row[f"r{i}"] for i, c in enumerate(columns)} if action == "mean" else {}
+    if action == "median":
+        new_values = {c: q and q[0] for c, q in zip(columns, exact_quantiles(run.df, [valid[c] for c in columns], [0.5]), strict=True)}
+    if action == "mode":  # the smallest of the most frequent values
+        for c in columns:
+            top = run.df.where(valid[c].isNotNull()).groupBy(valid[c].alias("v")).count().orderBy(F.desc("count"), "v").first()
+            new_values[c] = top and top["v"]
     previews = {c: [str(r[0]) for r in run.df.where(outside[c]).select(ROW_ID).orderBy(ROW_ID).limit(PREVIEW).collect()] if row[f"n{i}"] else [] for i, c in enumerate(columns)}
     data = run.df
     for i, c in enumerate(columns):
@@ -240,7 +246,7 @@ def _handle(run: Run, method: str) -> Result:
         elif action == "random_valid_value":
             data = _random_valid(data, c, inside[c], outside[c], run.context.random_seed)
         else:
-            new = {"custom_value": params["replacement_value"], "zero": 0.0}.get(action, row[f"r{i}"] if pick else None)
+            new = {"custom_value": params["replacement_value"], "zero": 0.0}.get(action, new_values.get(c))
             if new is None:
                 raise data_error("no valid value is left", column=c)
             data = data.withColumn(c, F.when(outside[c], F.lit(float(new))).otherwise(v))

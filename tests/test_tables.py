@@ -8,6 +8,7 @@ from statspark.model import OperatorError
 from statspark.operators.bins import bin_labels, equal_width_edges
 from statspark.operators.timeseries import filtered_decimate
 from statspark.plans.cores import ranked_counts
+from statspark.plans.quantiles import exact_quantiles
 from statspark.plans.order import shifted, with_position, with_row_id
 from statspark.runner import run_operation
 
@@ -169,3 +170,16 @@ def test_spacing_and_order_are_checked(spark):
     for times in ([0.0, 2.0, 5.0, 6.0], [0.0, 2.0, 2.0, 4.0], [0.0, 2.0, None, 6.0]):
         with pytest.raises(OperatorError):
             run(spark, "data_downsampling.filtered_decimate", good.assign(t=times), slots, factor=2)
+
+
+def test_quantiles_of_large_frames_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).selectExpr("pow((id * 7919) % 40009, 1.5) AS a", "cast((id * 31) % 7 AS double) AS b", "if(id % 3 = 0, NULL, id * 1e-3) AS c", "if(id < 39990, 5.0D, id * 1.0D) AS d", "cast(NULL AS double) AS e")
+    columns = [F.col(c) for c in "abcde"]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    direct = exact_quantiles(df, columns, shares)
+    narrowed = exact_quantiles(df, columns, shares, direct_rows=50)
+    assert direct[4] is None and narrowed[4] is None
+    for x, y in zip(direct[:4], narrowed[:4]):
+        assert y == pytest.approx(x, rel=1e-12)
