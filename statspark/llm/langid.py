@@ -24,14 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, with_arrow_columns
-from .textkit import U64, mix, slices, text_bytes
+from .common import frugal, pieces, with_arrow_columns
+from .textkit import U64, slices, text_bytes
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 PER_CLASS = 4000
 MAX_LANGUAGES = 256
+#: Bytes of text scored at a time; each takes about 150 bytes of arrays.
+SLICE = 1 << 18
 
 _FOLD = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x250)], np.uint32)
 _LETTER = np.zeros(256, bool)
@@ -77,7 +79,7 @@ def _count(batches):
         for batch in pieces(whole, "text"):
             labels = np.array(batch.column("lang").to_pylist(), object)
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 grams, chars = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 owner = np.repeat(np.arange(a, b), np.diff(chars))
                 for label in set(labels[a:b]):
@@ -101,7 +103,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_class:
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_class / r["count"]))).otherwise(share)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)
-    counts = rows.where(draw).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.where(draw).mapInArrow(frugal(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.full((1 << BUCKET_BITS, len(languages)), 0.1)
     column = {x: i for i, x in enumerate(languages)}
@@ -126,7 +128,7 @@ def score_batch(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.nd
     total = np.zeros((rows, len(model.languages)))
     length = np.ones(rows)
     letters = np.zeros(rows, bool)
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, SLICE):
         local, piece = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
         letters[a:b] = _has_letter(piece, local)
         if not len(piece) or not len(model.languages):

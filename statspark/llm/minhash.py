@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, pieces, settled, sized
+from .common import Scratch, arrow_batches, frugal, pieces, settled, sized
 from .textkit import LOWER, U64, byte_values, mix, prefix_hash, signed, slices, span_hash, text_bytes, word_spans
 
 BANDS, ROWS = 42, 6
@@ -299,8 +299,8 @@ class _Linker:
             return
         involved = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
         texts = self.docs.join(sized(involved), "doc_id", "left_semi")
-        sets = self.scratch.table(texts.mapInArrow(_sets(self.k), "id long, members binary"))
-        linked = near.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b").mapInArrow(_confirm(self.percent), "a long, b long")
+        sets = self.scratch.table(texts.mapInArrow(frugal(_sets(self.k)), "id long, members binary"))
+        linked = near.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b").mapInArrow(frugal(_confirm(self.percent)), "a long, b long")
         with arrow_batches(self.spark, 256):
             self.add(linked)
 
@@ -318,25 +318,25 @@ class _Linker:
         by_component = held.groupBy("grp", "component").agg(F.count("*").alias("n"))
         main = by_component.groupBy("grp").agg(F.max_by("component", "n").alias("main"), F.ceil(F.sum("n") / BLOCK_ROWS).alias("salts"))
         texts = self.docs.join(sized(held.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.k), "id long, members binary")
+        sets = texts.mapInArrow(frugal(_sets(self.k)), "id long, members binary")
         rows = self.scratch.table(held.withColumnRenamed("rep", "id").join(sets, "id").join(main, "grp").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))))
 
         def blocks(df: DataFrame) -> DataFrame:
             laid = df.select("grp", "salt", "id", "component", "members").repartition("grp", "salt").sortWithinPartitions("grp", "salt")
-            return laid.mapInArrow(_packed(BLOCK_ROWS), BLOCK_SCHEMA)
+            return laid.mapInArrow(frugal(_packed(BLOCK_ROWS)), BLOCK_SCHEMA)
 
         with arrow_batches(self.spark, 4):
             targets = self.scratch.table(blocks(rows))
             queries = self.scratch.table(blocks(rows.where("component <> main"))).toDF("grp", "q_ids", "q_components", "q_sizes", "q_hashes")
             pairs = targets.join(queries, "grp").repartition(F.xxhash64(F.get("ids", 0), F.get("q_ids", 0)))
-            self.add(pairs.mapInArrow(_meet(self.percent), "a long, b long"))
+            self.add(pairs.mapInArrow(frugal(_meet(self.percent)), "a long, b long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: id, set size, the least id reachable by links, and whether the row's document is that one."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with Scratch(spark) as scratch, arrow_batches(spark, TEXT_ROWS):
-        signs = scratch.table(source.mapInArrow(_sign(shingle), SIGN_SCHEMA))
+        signs = scratch.table(source.mapInArrow(frugal(_sign(shingle)), SIGN_SCHEMA))
         classes = signs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
         classes = scratch.table(classes)
         held = signs.where("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")

@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, settled
+from .common import Scratch, arrow_batches, frugal, pieces, settled
 from .textkit import LOWER, U64, byte_values, prefix_hash, slices, span_hash, text_bytes, word_spans
 
 WINDOW = 4096
@@ -37,7 +38,9 @@ OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 64
 END_ID = 2
 #: Entries of the word table of one Python worker (about 40 bytes each).
-CACHE_WORDS = 4_000_000
+CACHE_WORDS = 300_000
+#: Texts of one Arrow batch.
+TEXT_ROWS = 1000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, merge_group long"
 
@@ -54,6 +57,14 @@ _BLANK, _LETTER, _MARK = _marks()
 _BYTES = byte_values(59)
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str):
+    """The tokenizer, read once by each Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordTokenizer:
     """Exact ids of a word tokenizer, from a table of words by hash.
 
@@ -68,9 +79,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _loaded(path)
         self.limit = cache_words
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -161,7 +170,7 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text of a column."""
         data, offsets = text_bytes(texts)
         out: list[bytes] = []
-        for a, b in slices(offsets, 4 << 20):
+        for a, b in slices(offsets):
             piece = data[offsets[a] : offsets[b]]
             ids, at = self.encode(piece, offsets[a : b + 1] - offsets[a])
             raw = ids.astype("<u4", copy=False).tobytes()
@@ -299,8 +308,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, text: str =
             total = sum(len(p[2]) // 4 for p in parts)
             yield _batch(list(_cut(parts, _lengths(total, window), _count_from(-1 - ((group + 1) << 32)))), None)
 
-    with Scratch(spark) as scratch:
+    with Scratch(spark) as scratch, arrow_batches(spark, TEXT_ROWS):
         source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        laid = scratch.table(source.mapInArrow(first, PIECE_SCHEMA))
+        laid = scratch.table(source.mapInArrow(frugal(first), PIECE_SCHEMA))
         short = laid.where("merge_group is not null").repartition("merge_group").mapInArrow(second, PIECE_SCHEMA)
         return settled(laid.where("merge_group is null").unionByName(short).drop("ids", "merge_group"))

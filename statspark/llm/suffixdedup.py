@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, merged_runs, pieces, settled, sized
+from .common import Scratch, arrow_batches, frugal, merged_runs, pieces, settled, sized
 from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices, text_bytes
 
 LENGTH, GRAM = 400, 128
@@ -344,20 +344,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key
     uid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select(uid.alias("uid"), "doc_id", "text")
     with Scratch(spark) as scratch, arrow_batches(spark, 1000):
-        found = scratch.table(source.select("uid", "text").mapInArrow(_find_anchors(length, gram), ANCHOR_SCHEMA))
+        found = scratch.table(source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, gram)), ANCHOR_SCHEMA))
         several = scratch.table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
         repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi"))
         kinds = scratch.table(repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")))
         unlike = scratch.table(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
         mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
         wanted = scratch.table(mixed.select("at.uid", F.struct("at.pos", "gram", "segment", (F.col("n") == 1).alias("single")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted")))
-        segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(_cut_segments(length, gram), SEGMENT_SCHEMA))
+        segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram)), SEGMENT_SCHEMA))
         hot = settled(segments.groupBy("gram").count().where(F.col("count") > block).select("gram"))
         some_hot = not hot.isEmpty()
         usual = segments.join(sized(hot), "gram", "left_anti") if some_hot else segments
-        ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(_compare(length, gram, block), RANGE_SCHEMA)
+        ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(frugal(_compare(length, gram, block)), RANGE_SCHEMA)
         if some_hot:
-            windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(_hash_windows(length, gram), HOT_SCHEMA)
+            windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(frugal(_hash_windows(length, gram)), HOT_SCHEMA)
             counted = windows.groupBy("gram", "distance", "window").agg(F.count("*").alias("n")).where("n > 1")
             again = windows.where("single").join(counted, ["gram", "distance", "window"], "left_semi")
             ranges = ranges.unionByName(again.groupBy("gram", "segment").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances())))
@@ -369,5 +369,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key
         cover = scratch.table(cover.groupBy("uid").agg(merged_runs(F.array_sort(F.collect_list(run))).alias("cover")))
         joined = source.join(sized(cover, CELLS, F.size("cover")), "uid", "left").select("doc_id", "text", "cover")
         schema = RESULT_SCHEMA + ", kept binary"
-        result = joined.mapInArrow(_remove(keep_text), schema)
+        result = joined.mapInArrow(frugal(_remove(keep_text)), schema)
         return settled(result if keep_text else result.drop("kept"))
