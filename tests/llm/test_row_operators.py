@@ -111,6 +111,38 @@ def test_licences_are_found_and_inherited(spark):
     assert license.inherit(license.own_licences(spark, df.limit(0))).count() == 0
 
 
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_licence_files_and_spdx_identifiers(spark):
+    known = license.license_texts()
+    agpl = known["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1)
+    bsd = known["BSD-3-Clause"]
+    at, to = bsd.index("3. Neither"), bsd.index("THIS SOFTWARE")
+    notice = "# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 2 of the License, or\n# (at your option) any later version."
+    want = {
+        "m/LICENSE": (MIT_BODY, "MIT"), "m/x.py": ("code", "MIT"), "g/COPYING": (known["GPL-3.0"], "GPL-3.0"), "g2/COPYING": (known["GPL-2.0"], "GPL-2.0"),
+        "l/COPYING.LESSER": (known["LGPL-3.0"], "LGPL-3.0"), "a/LICENSE": (agpl, "AGPL-3.0"), "b/LICENSE": (bsd, "BSD-3-Clause"), "b2/LICENSE": (bsd[:at] + bsd[to:], "BSD-2-Clause"),
+        "p/LICENSE.txt": (known["Apache-2.0"].split("\n", 4)[4], "Apache-2.0"), "q/LICENSE": (MIT_BODY.replace("Permission is", "Copyright (c) 2020 Some Name\n\nPermission is"), "MIT"),
+        "s/1.py": ("# SPDX-License-Identifier: MIT\ncode", "MIT"), "s/2.c": ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), "s/3.c": ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        "s/4.c": ("// SPDX-License-Identifier: Zlib", None), "t/1.txt": ("GNU GENERAL PUBLIC LICENSE", None), "t/2.txt": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), "t/3.py": (notice, "GPL-2.0"),
+        "n/LICENSE": ("A licence to print money is what they called it, and the people of the town agreed that it was so.", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in want.items()], "path string, text string")
+    got = {r["path"]: r["license"] for r in license.inherit(settled(license.own_licences(spark, df))).collect()}
+    assert got == {p: name for p, (_, name) in want.items()}
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     found = queries.op10_language_id(spark, SF).join(queries.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.95
