@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_text, col
 from ..model import ROW_ID, Chart, Metric, Result, Table, data_error, parameter_error
-from ..plans.cores import moments, ranked_counts
+from ..plans.cores import moments, ranked_counts, running_totals
 from ..plans.features import Design, complete, design
 from ..plans.order import POSITION, with_position
 from ..plans.registry import BOTH, CATEGORICAL, DISCRETE, NUMERIC, QUANTITATIVE, Constraint, Run, Slot, disjoint, operator
@@ -80,20 +80,18 @@ def auc(scored: DataFrame, score: str, positive: Column) -> float | None:
 
 
 def curves(scored: DataFrame, score: str, positive: Column) -> tuple[list, list, float | None]:
-    """ROC and precision-recall points (thinned evenly beyond ``CURVE_POINTS``) and average precision."""
+    """ROC and precision-recall points (thinned evenly beyond ``CURVE_POINTS``) and average precision over all distinct scores."""
     by_score = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(positive.cast("long")).alias("p"))
-    spec = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    if by_score.limit(500_001).count() > 500_000:  # rank scores in fixed steps first
-        by_score = by_score.groupBy(F.round("s", 5).alias("s")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    total = by_score.agg(F.sum("n"), F.sum("p")).first()
-    pos, neg = total[1] or 0, (total[0] or 0) - (total[1] or 0)
+    m, n, pos = by_score.agg(F.count(F.lit(1)), F.sum("n"), F.sum("p")).first()
+    pos, neg = pos or 0, (n or 0) - (pos or 0)
     if not pos or not neg:
         return [], [], None
-    table = by_score.select("s", "p", F.sum("p").over(spec).alias("tp"), F.sum("n").over(spec).alias("k"))
+    upto = running_totals(by_score.withColumn("i", F.lit(1)), "s", ["p", "n", "i"], descending=True)
+    table = upto.select("s", "p", F.col("p__upto").alias("tp"), F.col("n__upto").alias("k"), F.col("i__upto").alias("i"))
     ap = table.agg(F.sum(F.col("p") / pos * F.col("tp") / F.col("k"))).first()[0]
-    points = table.orderBy(F.desc("s")).toPandas()
-    if len(points) > CURVE_POINTS:
-        points = points.iloc[np.unique(np.linspace(0, len(points) - 1, CURVE_POINTS).astype(int))]
+    if m > CURVE_POINTS:
+        table = table.where(F.col("i").isin([int(i) + 1 for i in np.unique(np.linspace(0, m - 1, CURVE_POINTS).astype(int))]))
+    points = table.orderBy("i").toPandas()
     roc = [[0.0, 0.0]] + [[float((k - tp) / neg), float(tp / pos)] for tp, k in zip(points["tp"], points["k"], strict=True)]
     pr = [[float(tp / pos), float(tp / k)] for tp, k in zip(points["tp"], points["k"], strict=True)]
     return roc, pr, ap

@@ -105,13 +105,22 @@ def mid_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def ranked_counts(counts: DataFrame, single_sort_rows: int = 500_000) -> DataFrame:
     """(__v, __n, __rank): mid-ranks of value counts."""
+    upto = running_totals(counts, "__v", ["__n"], single_sort_rows=single_sort_rows)
+    return upto.withColumn("__rank", F.col("__n__upto") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__n__upto")
+
+
+def running_totals(counts: DataFrame, key: str, columns: list[str], descending: bool = False, single_sort_rows: int = 500_000) -> DataFrame:
+    """``counts`` with ``<c>__upto``: the sum of each column up to and with the row, in the order of the distinct keys."""
+    order = F.desc(key) if descending else F.asc(key)
     if counts.limit(single_sort_rows + 1).count() <= single_sort_rows:
-        upto = F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-        return counts.withColumn("__rank", upto - F.col("__n") + (F.col("__n") + 1) / 2)
+        spec = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({f"{c}__upto": F.sum(c).over(spec) for c in columns})
     from .storage import settled
 
-    laid = settled(counts.repartitionByRange("__v").sortWithinPartitions("__v").withColumn("__part", F.spark_partition_id()))
-    before = laid.groupBy("__part").agg(F.sum("__n").alias("t")).withColumn("__before", F.coalesce(F.sum("t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    inside = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = laid.withColumn("__in", inside).join(F.broadcast(before), "__part")
-    return placed.withColumn("__rank", F.col("__before") + F.col("__in") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__part", "__in", "__before")
+    laid = settled(counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = laid.groupBy("__part").agg(*(F.sum(c).alias(f"{c}__t") for c in columns))
+    before = before.select("__part", *(F.coalesce(F.sum(f"{c}__t").over(earlier), F.lit(0)).alias(f"{c}__before") for c in columns))
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = laid.withColumns({f"{c}__in": F.sum(c).over(inside) for c in columns}).join(F.broadcast(before), "__part")  # one row a partition
+    return placed.withColumns({f"{c}__upto": F.col(f"{c}__before") + F.col(f"{c}__in") for c in columns}).drop("__part", *(f"{c}__{x}" for c in columns for x in ("in", "before")))

@@ -182,6 +182,26 @@ def test_silhouette_matches_pairwise_distances(spark):
     assert result.metric("silhouette") == pytest.approx(np.mean(scores), abs=1e-6)
 
 
+def test_average_precision_keeps_unlike_scores_apart(spark):
+    from pyspark.sql import functions as F
+
+    from statspark.operators.classify import CURVE_POINTS, curves
+
+    n, top = 510_000, 100  # scores closer than 1e-5, the greatest ones positive
+    scored = spark.range(n).select((F.col("id") * 1e-9).alias("s"), (F.col("id") >= n - top).alias("y"))
+    roc, pr, ap = curves(scored, "s", F.col("y"))
+    assert ap == pytest.approx(1.0, abs=1e-12)
+    assert len(pr) == CURVE_POINTS and roc[-1] == [1.0, 1.0] and pr[-1] == pytest.approx([1.0, top / n])
+    rng = np.random.default_rng(1)
+    s, y = rng.integers(0, 50, 400) / 50, rng.integers(0, 2, 400)
+    _, _, ap = curves(spark.createDataFrame(pd.DataFrame({"s": s, "y": y})), "s", F.col("y") == 1)
+    expected, before = 0.0, 0.0
+    for v in sorted(set(s), reverse=True):
+        recall = y[s >= v].sum() / y.sum()
+        expected, before = expected + (recall - before) * y[s >= v].mean(), recall
+    assert ap == pytest.approx(expected, abs=1e-12)
+
+
 def test_grey_forecast_follows_a_geometric_series(spark):
     forecast = run(spark, "grey_forecast_gm11.basic").table("gm11_forecast").rows()
     for i, r in enumerate(forecast):
