@@ -17,8 +17,8 @@ from ..plans.registry import BOTH, DISCRETE, NUMERIC, QUANTITATIVE, Constraint,
 from ..plans.storage import settled
 
 MODULE = "clustering_models"
-#: Rows whose silhouette is computed exactly against all rows; more are sampled by hash, and the warning says so.
-SILHOUETTE_ROWS = 2000
+#: Query rows of one pass of the silhouette, sums (query rows x clusters) a pass returns, and distances held at once.
+QUERY_ROWS, QUERY_SUMS, DISTANCES = 16_384, 2_000_000, 1 << 20
 CHART_ROWS = 1000
 
 
@@ -33,51 +33,64 @@ def scaled_features(df: DataFrame, made: Design, standardize: bool) -> tuple[Dat
     return df.select(ROW_ID, F.array(*cells).alias("x")), centre, scale
 
 
-def silhouette(points: DataFrame, k: int, most: int = SILHOUETTE_ROWS, seed: int = 42) -> tuple[float | None, bool]:
-    """Mean Euclidean silhouette of (x, label) rows. A bounded set of query rows meets all rows in Arrow batches."""
+def silhouette(points: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> float | None:
+    """Mean Euclidean silhouette of all (x, label) rows. Blocks of query rows, by row hash, meet all rows in Arrow batches, one block after the other."""
     import pandas as pd
 
-    n = points.count()
-    sampled = n > most
-    chosen = points.orderBy(F.xxhash64(ROW_ID, F.lit(seed)), ROW_ID).limit(most) if sampled else points
-    local = chosen.select("x", "label").toPandas()
-    q = np.array(local["x"].tolist(), float)
-    labels = local["label"].to_numpy(int)
-    names = sorted(r[0] for r in points.select("label").distinct().collect())
-    place = {v: i for i, v in enumerate(names)}
-    if len(names) < 2:
-        return None, sampled
-    shared = points.sparkSession.sparkContext.broadcast(q)  # at most ``most`` rows
-
-    def sums(batches):
-        out = np.zeros((len(shared.value), len(names)))
-        for b in batches:
-            x = np.array(b["x"].tolist(), float)
-            which = np.array([place[v] for v in b["label"]])
-            for at in range(0, len(x), 4096):
-                part = x[at : at + 4096]
-                gap = np.sqrt(np.maximum(((shared.value[:, None, :] - part[None, :, :]) ** 2).sum(-1), 0)) if part.shape[1] <= 4 else _distances(shared.value, part)
-                for c in range(len(names)):
-                    out[:, c] += gap[:, which[at : at + 4096] == c].sum(1)
-        yield pd.DataFrame({"query": np.repeat(np.arange(len(out)), len(names)), "c": np.tile(np.arange(len(names)), len(out)), "d": out.ravel()})
-
-    total = points.select("x", "label").mapInPandas(sums, "query long, c long, d double").groupBy("query", "c").agg(F.sum("d").alias("d")).toPandas()
     sizes = {r["label"]: r["n"] for r in points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = np.array(sorted(sizes))
+    if len(names) < 2:
+        return None
     size = np.array([sizes[v] for v in names], float)
-    d = np.zeros((len(q), len(names)))
-    d[total["query"].to_numpy(int), total["c"].to_numpy(int)] = total["d"]
-    own = np.array([place[v] for v in labels])
-    rows = np.arange(len(q))
-    inside = d[rows, own] / np.maximum(size[own] - 1, 1)
-    other = d / size
-    other[rows, own] = np.inf
-    near = other.min(1)
-    score = np.where(size[own] > 1, (near - inside) / np.maximum(near, inside), 0.0)
-    return float(np.nan_to_num(score).mean()), sampled
+    n = int(size.sum())
+    blocks = -(-n // max(1, min(query_rows, QUERY_SUMS // len(names))))
+    block = F.pmod(F.xxhash64(ROW_ID), F.lit(blocks))
+    total = 0.0
+    for i in range(blocks):
+        local = points.where(block == i).select("x", "label").toPandas()
+        if not len(local):
+            continue
+        q = np.array(local["x"].tolist(), float)
+        own = np.searchsorted(names, local["label"].to_numpy())
+        shared = points.sparkSession.sparkContext.broadcast(q)  # about ``query_rows`` rows
+
+        def sums(batches, shared=shared):
+            q = shared.value
+            out = np.zeros((len(q), len(names)))
+            step = max(1, DISTANCES // len(q))
+            for b in filter(len, batches):
+                which = np.searchsorted(names, b["label"].to_numpy())
+                order = np.argsort(which, kind="stable")
+                x, which = np.array(b["x"].tolist(), float).reshape(len(b), -1)[order], which[order]
+                for at in range(0, len(x), step):
+                    held, starts = np.unique(which[at : at + step], return_index=True)
+                    out[:, held] += np.add.reduceat(_distances(q, x[at : at + step]), starts, axis=1)
+            yield pd.DataFrame({"query": np.repeat(np.arange(len(out)), len(names)), "c": np.tile(np.arange(len(names)), len(out)), "d": out.ravel()})
+
+        got = points.select("x", "label").mapInPandas(sums, "query long, c long, d double").groupBy("query", "c").agg(F.sum("d").alias("d")).toPandas()
+        shared.destroy()
+        d = np.zeros((len(q), len(names)))
+        d[got["query"].to_numpy(int), got["c"].to_numpy(int)] = got["d"]
+        rows = np.arange(len(q))
+        inside = d[rows, own] / np.maximum(size[own] - 1, 1)
+        other = d / size
+        other[rows, own] = np.inf
+        near = other.min(1)
+        most = np.maximum(near, inside)
+        total += float(np.where((size[own] > 1) & (most > 0), (near - inside) / np.where(most > 0, most, 1.0), 0.0).sum())
+    return total / n
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
+    """Euclidean distances; of few dimensions by differences, else by products."""
+    if a.shape[1] <= 4:
+        square = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            gap = a[:, i, None] - b[None, :, i]
+            square += gap * gap
+    else:
+        square = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+    return np.sqrt(square)
 
 
 def _labelled(run: Run, labels: DataFrame) -> DataFrame | None:
@@ -127,12 +140,10 @@ def kmeans(run: Run) -> Result:
     order = [r["raw"] for r in raw.groupBy("raw").agg(F.min(ROW_ID).alias("first")).orderBy("first").collect()]
     labels = settled(raw.withColumn("label", F.element_at(F.create_map(*(F.lit(v) for i, old in enumerate(order) for v in (old, i))), F.col("raw"))).drop("raw"))
     vectors.unpersist()
-    score, sampled = silhouette(labels, len(order), seed=run.context.random_seed)
+    score = silhouette(labels, len(order))
     centres = [{"cluster": i} | {c: float(v) for c, v in zip(made.names, best.clusterCenters()[old] * scale + centre, strict=True)} for i, old in enumerate(order)]
-    result = Result([Metric("inertia", best.summary.trainingCost), Metric("silhouette", score), Metric("cluster_count", len(order))], [Table("cluster_centers", centres), Table("cluster_counts", _counts(labels))], [_projection(labels)], metadata={"sample_count": n, "dropped_rows": dropped, "categorical_encoding": made.encoding, "silhouette_sampled": sampled}, data=_labelled(run, labels))
+    result = Result([Metric("inertia", best.summary.trainingCost), Metric("silhouette", score), Metric("cluster_count", len(order))], [Table("cluster_centers", centres), Table("cluster_counts", _counts(labels))], [_projection(labels)], metadata={"sample_count": n, "dropped_rows": dropped, "categorical_encoding": made.encoding}, data=_labelled(run, labels))
     _warn(result, dropped, len(made.names))
-    if sampled:
-        result.warn("SAMPLED_SILHOUETTE", "the silhouette is the mean of a sample of rows against all rows", rows=SILHOUETTE_ROWS)
     return result
 
 

@@ -182,6 +182,23 @@ def test_silhouette_matches_pairwise_distances(spark):
     assert result.metric("silhouette") == pytest.approx(np.mean(scores), abs=1e-6)
 
 
+def test_silhouette_takes_every_row(spark):
+    from statspark.model import ROW_ID
+    from statspark.operators.cluster import silhouette
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (2990, 2)), rng.normal(6, 1, (10, 2))])  # more rows than were once sampled, ten of them a cluster
+    label = np.repeat([0, 1], [2990, 10])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    sums = np.stack([d[:, label == c].sum(1) for c in (0, 1)], 1)
+    size, rows = np.array([2990, 10]), np.arange(len(x))
+    own, other = sums[rows, label] / (size[label] - 1), sums[rows, 1 - label] / size[1 - label]
+    exact = ((other - own) / np.maximum(own, other)).mean()
+    points = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], f"{ROW_ID} long, x array<double>, label int").repartition(3)
+    assert silhouette(points, 2) == pytest.approx(exact, abs=1e-12)
+    assert silhouette(points, 2, query_rows=700) == pytest.approx(exact, abs=1e-12)
+
+
 def test_average_precision_keeps_unlike_scores_apart(spark):
     from pyspark.sql import functions as F
 
