@@ -58,6 +58,12 @@ class Scratch:
         self.close()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt out evenly where its files make fewer parts than two for each core; a small shuffle, as few parts mean few bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run inside hand Python at most so many rows at a time, for rows that are large."""

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def fold(column: str, k: int) -> F.Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
@@ -18,7 +24,7 @@ def fold(column: str, k: int) -> F.Column:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(fold("doc_id", 5) != 0))
     found = langid.detect(spark, docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
@@ -27,7 +33,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
 
     def count(kind: str) -> F.Column:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -39,7 +45,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixdedup
 
-    return suffixdedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return suffixdedup.remove_repeats(spark, documents(spark, sf_dir))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +53,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from . import packing
 
-    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
-    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = media.store_texts(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     found = media.media_digests(media.image_features(stored))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))
 
@@ -88,14 +94,14 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (r)
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
-    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return minhash.near_duplicates(spark, documents(spark, sf_dir), shingle=2, percent=80)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their source's folders; an id divisible by 50 is the licence file of its folder of 1000 ids."""
     from . import license as licences
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"))
     name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("part/"), F.col("doc_id"), F.lit(".txt")))
     files = docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
@@ -106,7 +112,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = fold("doc_id", 3) == 1
     model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
     return quality.score(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
@@ -116,7 +122,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
     windows = decontam.windows_of(table(spark, sf_dir, "benchmark"))
-    return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), windows))
+    return decontam.report(decontam.scan(documents(spark, sf_dir), windows), windows)
 
 
 QUERIES = {

@@ -133,15 +133,29 @@ ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"),
 LEAKY = [(1, "zero one two three four five six seven eight nine ten x"), (2, "one two three"), (3, "a short, item; and SHORT-ITEM"), (4, None), (5, ""), (6, "a " * 25), (7, "\u00e9t\u00e9 one two \u00c9t\u00e9 one two"), (7, "\u00c9t\u00e9 one two"), (None, "x y z w v u x y z w v u"), (8, "six seven eight nine ten eleven twelve one two three")]
 
 
+def reported(docs, items, **options):
+    windows = decontam.windows_of(items)
+    return [tuple(r) for r in decontam.report(decontam.scan(docs, windows, **options), windows).collect()]
+
+
 @pytest.mark.parametrize("limit", [1000, 1])
 def test_leaks_match_brute_force(spark, limit):
     docs = spark.createDataFrame(LEAKY, "doc_id long, text string").selectExpr("*", "1 AS words", "2 AS token")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontam.report(decontam.scan(docs, decontam.windows_of(items), broadcast_rows=limit)).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(leaks(LEAKY, ITEMS), key=str)
-    none = decontam.report(decontam.scan(docs, decontam.windows_of(items.limit(0)))).collect()
-    assert len(none) == len(LEAKY) and not any(r["contaminated"] for r in none)
-    assert decontam.report(decontam.scan(docs.limit(0), decontam.windows_of(items))).count() == 0
+    assert sorted(reported(docs, items, broadcast_rows=limit), key=str) == sorted(leaks(LEAKY, ITEMS), key=str)
+    none = reported(docs, items.limit(0))
+    assert len(none) == len(LEAKY) and not any(r[-1] for r in none)
+    assert reported(docs.limit(0), items) == []
+
+
+@pytest.mark.parametrize("limit", [10_000, 1])
+def test_a_passage_of_all_items_and_a_very_long_text(spark, limit):
+    passage = " ".join(f"w{i}" for i in range(14))
+    items = [(i, f"head{i} {passage} tail{i}") for i in range(150)]
+    long = " ".join(f"v{i % 977}" for i in range(200_000))
+    docs = [(1, f"{long} {passage} {long}"), (2, passage), (3, f"x {passage} y " * 40), (4, long), (5, f"head7 {passage} tail9")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(reported(*frames, broadcast_rows=limit)) == sorted(leaks(docs, items))
 
 
 def test_leaks_of_the_test_table_match_brute_force(spark):
