@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     windows = decontam.windows_of(queries.table(spark, sf_dir, "benchmark"))
-    leaking = decontam.report(decontam.scan(docs, windows)).where("contaminated").select("doc_id").distinct()
+    leaking = decontam.report(decontam.scan(docs, windows), windows).where("contaminated").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(common.sized(common.settled(leaking)), "doc_id", "left_anti")
 
 
