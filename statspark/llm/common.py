@@ -59,9 +59,9 @@ class Scratch:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scanned table dealt out evenly where its files make fewer parts than two for each core; a small shuffle, as few parts mean few bytes."""
+    """A scanned table dealt out evenly where its files make fewer parts than there are cores; a small shuffle, as few parts mean few bytes."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 @contextmanager

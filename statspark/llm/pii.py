@@ -4,8 +4,10 @@ For each kind a regular expression proposes leftmost, non-overlapping spans.
 ``regexp_extract_all`` gives the matches and ``split`` the text between them,
 so running sums of lengths give positions in code points. Validators confirm:
 number ranges, digit counts, the Luhn sum for cards, mod 97 for account
-numbers. Words near a span raise its score, so account and identity numbers
-without a strong checksum count only in a fitting context.
+numbers; entropy and mixed letters and digits for secrets. Words near a span
+raise its score: identity numbers and assigned values, which no checksum
+confirms, count only where a fitting word stands within reach. Keys of known
+forms (``key``) tell themselves by their prefix.
 
 The patterns use possessive repeats and may only start at the head of a run (or
 where the last match ended); they match what the plain patterns in ``FIXED``
@@ -40,13 +42,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9])",
+    "secret": r"(?<=[=:][\x20\x22\x27]{0,3})(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{8,}+",
 }
 KINDS = tuple(PATTERNS)
-#: What a text must hold before a kind's pattern is tried.
-NEEDS = {"email": "@", "phone": "+"}
+#: What a text must hold before a kind's pattern is tried; else a digit.
+NEEDS = {"email": "@", "phone": "\\+", "key": "AKIA|ASIA|gh[opsu]_|xox|eyJ", "secret": "[=:][\\x20\\x22\\x27]{0,3}[A-Za-z0-9+/_.~-]{8}"}
 
 #: Score of a confirmed span, and what a context word within reach adds.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "key": 0.9, "secret": 0.3}
 CONTEXT = {
     "email": "mail|contact|correo|courriel",
     "ip": "ip|host|server|address|adresse",
@@ -54,11 +58,15 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax|telefon|tel[eé]fono",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security|tax id",
+    "key": "key|token|aws|secret",
+    "secret": "password|passwd|pwd|passwort|kennwort|mot de passe|contraseña|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer",
 }
 CONTEXT_GAIN = 0.1
-CONTEXT_GAINS = {"ssn": 0.5}
+CONTEXT_GAINS = {"ssn": 0.5, "secret": 0.5}
 CONTEXT_REACH = 40
 LEAST_SCORE = 0.5
+#: Bits a character that an assigned value must have to be a secret.
+LEAST_ENTROPY = 2.5
 
 
 def _digits(value: Column) -> Column:
@@ -98,7 +106,19 @@ def _ssn(value: Column) -> Column:
     return ~value.rlike("^(000|666|9)") & ~value.rlike("-00-|-0000$")
 
 
-CONFIRM = {"email": lambda v: F.lit(True), "ip": _ip, "card": _luhn, "phone": _phone, "iban": _iban, "ssn": _ssn}
+def _secret(value: Column) -> Column:
+    """Letters and digits together, and characters as mixed as those of random values."""
+    n = F.length(value)
+
+    def bits(total: Column, c: Column) -> Column:
+        share = (n - F.length(F.replace(value, c, F.lit("")))) / n
+        return total - share * F.log2(share)
+
+    entropy = F.aggregate(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), F.lit(0.0), bits)
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (entropy >= LEAST_ENTROPY)
+
+
+CONFIRM = {"email": lambda v: F.lit(True), "ip": _ip, "card": _luhn, "phone": _phone, "iban": _iban, "ssn": _ssn, "key": lambda v: F.lit(True), "secret": _secret}
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -132,7 +152,7 @@ def _found(text: Column, kind: str) -> Column:
     spans = F.transform(located, scored)
     if kind not in BASE_KINDS:
         spans = F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
-    holds = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
+    holds = text.rlike(NEEDS.get(kind, "[0-9]"))
     return F.when(holds, spans).otherwise(F.array().cast(start_type))
 
 

@@ -39,7 +39,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("pii", lambda s: s["place"] < len(pii.BASE_KINDS))
-    return found.select("doc_id", *(count(k) for k in pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    digest = F.sha2(pii.joined(base), 256).alias("base_sha256")
+    scores = F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",")
+    more = [count(k) for k in pii.KINDS if k not in pii.BASE_KINDS]
+    return found.select("doc_id", *(count(k) for k in pii.BASE_KINDS), digest, pii.joined(F.col("pii")).alias("spans"), *more, F.size("pii").cast("long").alias("n_spans"), scores.alias("scores"))
 
 
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
