@@ -1,12 +1,15 @@
 """Exact removal of repeated byte strings by a column-wise suffix construction over anchored segments.
 
-Wanted: every byte covered by a ``length``-byte string that also starts elsewhere.
-A column-wise construction over whole documents takes as many sequential passes
-as the longest document has bytes, so the collection is cut down first:
+Wanted: every byte covered by a ``length``-byte string that also starts
+elsewhere; and, beside it, the passages of at least ``words`` words made of
+``passage``-byte strings that stand in another document too. A column-wise
+construction over whole documents takes as many sequential passes as the
+longest document has bytes, so the collection is cut down first:
 
-1. Anchors. In every window of ``length`` bytes the leftmost least hash of its
+1. Anchors. In every window of ``passage`` bytes the leftmost least hash of its
    ``gram``-byte strings is an anchor. Equal windows have the same anchor at the
-   same place, so repeats only touch anchors whose gram occurs twice.
+   same place, so repeats only touch anchors whose gram occurs twice. A first
+   scan counts the grams; a second keeps the anchors of those that repeat.
 2. Segments. The segment of an anchor reaches ``length - gram`` bytes to either side of
    its gram, and so holds all windows with the gram in them. Anchors with equal
    segments need no more; of unlike segments around one gram, one of each kind is compared.
@@ -17,19 +20,21 @@ as the longest document has bytes, so the collection is cut down first:
    and the common prefix of new neighbours is one more than the least over the
    old neighbours between them. The columns of the gram itself are equal and
    are inserted at once. Where a suffix at distance l before the gram shares
-   ``length`` symbols with a neighbour, the window there is repeated.
-4. Cover. Each anchor's repeated distances cover bytes of its document; their union is removed.
+   ``length`` symbols with a neighbour, the window there is repeated; where a run of
+   neighbours shares ``passage`` symbols and has two documents, the window is a shared passage.
+4. Cover. Each anchor's distances cover bytes of its document; their union counts.
 
 Grams shared by more than ``block`` unlike segments are not compared in one task:
 each window of such a segment is hashed, and Spark counts the hashes (salted by
 distance, pre-aggregated), in work linear in the segments.
 
-Equality of grams, segments and hot windows is by 64-bit hashes within 64-bit
-gram groups; windows in a column comparison are compared symbol by symbol.
+Segments are told equal by a 64-bit hash of their bytes within a 64-bit hash of
+their gram; windows in a column comparison are compared symbol by symbol, grams byte by byte.
 
 Defined cases: null is the empty text; texts under ``length`` bytes keep all;
-repeated rows are separate documents, so both lose what they share; a null id is
-kept; an empty table gives an empty result; other columns are not read.
+repeated rows are separate documents, so both lose what they share (where ids are
+null or repeated, rows of equal id and text count as one document for passages);
+a null id is kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,14 +44,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, frugal, merged_runs, pieces, settled, sized
 from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices, text_bytes
 
-LENGTH, GRAM = 400, 128
-BLOCK = 4000
+LENGTH, PASSAGE, GRAM = 400, 240, 64
+#: Words that a shared passage has at least.
+WORDS = 50
+BLOCK = 16_000
 #: Grams (16 bytes each) and list entries (40 bytes each) up to which a table is sent to every executor.
 GRAMS, CELLS = 2_000_000, 1_500_000
 ABSENT = 256
@@ -62,21 +70,21 @@ def _gram_hashes(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, mix((sums[gram:] - sums[:count]) * down[:count])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions, hashes of their grams, and hashes of their segments (clipped at the text's ends)."""
-    none = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
-    if len(data) < length:
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor positions and hashes of their grams."""
+    none = np.zeros(0, np.int64), np.zeros(0, U64)
+    if len(data) < window:
         return none
-    sums, hashes = _gram_hashes(data, gram)
-    count, span = len(hashes), length - gram + 1
+    _, hashes = _gram_hashes(data, gram)
+    count, span = len(hashes), window - gram + 1
     key = (hashes & _TOP) | np.arange(count, dtype=U64)
     table = np.concatenate([key, np.full(-count % span, ~U64(0))]).reshape(-1, span)
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = len(data) - length + 1
+    windows = len(data) - window + 1
     least = np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows])
     inside = np.zeros(windows + 1, np.int64)
-    first, last = offsets[:-1], offsets[1:] - length + 1
+    first, last = offsets[:-1], offsets[1:] - window + 1
     holds = last > first
     np.add.at(inside, first[holds], 1)
     np.add.at(inside, last[holds], -1)
@@ -86,11 +94,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     change = np.ones(len(least), bool)
     change[1:] = least[1:] != least[:-1]
     at = np.unique((least[change] & U64(_PLACE_LIMIT - 1)).astype(np.int64))
-    of = np.searchsorted(offsets, at, side="right") - 1
+    return at, hashes[at]
+
+
+def segment_hashes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, of: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Hashes of the bytes around each anchor (clipped at the text's ends) and of the anchor's place among them."""
     low, high = np.maximum(at - (length - gram), offsets[of]), np.minimum(at + length, offsets[of + 1])
-    _, down = powers(len(sums))
-    segment = mix((sums[high] - sums[low]) * down[low] + mix((at - low).astype(U64) * U64(1 << 20) + (high - at).astype(U64)))
-    return at, hashes[at], segment
+    raw = memoryview(np.ascontiguousarray(data))
+    made = (xxhash.xxh3_64_intdigest(raw[a:b], c) for a, b, c in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True))
+    return np.fromiter(made, U64, len(at))
 
 
 ANCHOR_SCHEMA = "uid long, pos int, gram long, segment long"
@@ -108,40 +120,45 @@ def _parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, in
                 yield a, b, max(low, at - 2 * length), min(high, at + step + 2 * length), at, min(high, at + step)
 
 
-def _find_anchors(length: int, gram: int):
+def _find_anchors(length: int, passage: int, gram: int, grams_only: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 data, offsets = text_bytes(batch.column("text"))
-                uids = batch.column("uid").to_numpy()
                 for a, b, low, high, first, last in _parts(offsets, length):
                     local = np.clip(offsets[a : b + 1] - low, 0, high - low)
-                    at, grams, segments = anchors(data[low:high], local, length, gram)
+                    at, grams = anchors(data[low:high], local, passage, gram)
                     mine = (at >= first - low) & (at < last - low)
-                    at, grams, segments = at[mine], grams[mine], segments[mine]
+                    at, grams = at[mine], grams[mine]
+                    if grams_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(grams))], ["gram"])
+                        continue
                     of = np.searchsorted(local, at, side="right") - 1
+                    segments = segment_hashes(data[low:high], local, at, of, length, gram)
                     place = at + low - offsets[a + of]
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[a + of]), pa.array(place.astype(np.int32)), pa.array(signed(grams)), pa.array(signed(segments))], ["uid", "pos", "gram", "segment"])
+                    yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(a + of)), pa.array(place.astype(np.int32)), pa.array(signed(grams)), pa.array(signed(segments))], ["uid", "pos", "gram", "segment"])
 
     return run
 
 
-SEGMENT_SCHEMA = "gram long, segment long, single boolean, left binary, right binary"
+#: ``single``: the segment occurs once; ``doc``: the document that alone holds it, null where there are several.
+SEGMENT_SCHEMA = "gram long, segment long, single boolean, doc long, at int, bytes binary"
+_SEGMENT_FIELDS = ["gram", "segment", "single", "doc", "at", "bytes"]
 
 
 def _cut_segments(length: int, gram: int):
-    """The bytes beside the gram of each wanted anchor."""
+    """The bytes of each wanted segment, and where its gram begins."""
     reach = length - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for text, wanted in zip(batch.column("text").cast(pa.large_binary()), batch.column("wanted"), strict=True):
-                raw = text.as_buffer() if text.is_valid else b""
-                raw = memoryview(raw)
+                raw = memoryview(text.as_buffer() if text.is_valid else b"")
                 for w in wanted.as_py():
                     p = w["pos"]
-                    rows.append((w["gram"], w["segment"], w["single"], bytes(raw[max(0, p - reach) : p]), bytes(raw[p + gram : p + length])))
+                    low = max(0, p - reach)
+                    rows.append((w["gram"], w["segment"], w["single"], w["doc"], p - low, bytes(raw[low : p + length])))
                 if len(rows) > 20_000:
                     yield _segment_batch(rows)
                     rows = []
@@ -152,9 +169,8 @@ def _cut_segments(length: int, gram: int):
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "segment", "single", "left", "right"])
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _SEGMENT_FIELDS)
 
 
 def _symbols(parts: list[bytes], reach: int, right_aligned: bool) -> np.ndarray:
@@ -187,10 +203,12 @@ def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray, longes
     return out
 
 
-def repeated_distances(groups: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int, length: int) -> np.ndarray:
+def repeated_distances(groups: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int, length: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
     """For each aligned segment (grouped, in order) the distances before the gram whose window has an equal in its group.
 
-    ``left`` and ``right`` are columns x segments. Returns distances x segments.
+    ``left`` and ``right`` are columns x segments. The first array (distances x segments) is of
+    windows of ``length``; the second of windows of ``passage`` that two documents have
+    (``docs``: a number a document, -1 for several).
     """
     n, reach = len(groups), length - gram
     order = np.arange(n)
@@ -201,7 +219,7 @@ def repeated_distances(groups: np.ndarray, left: np.ndarray, right: np.ndarray,
     starts = np.flatnonzero(border)
     longest = int(np.diff(np.append(starts, n)).max(initial=1))
     rank = np.cumsum(border).astype(np.int64)
-    out = np.zeros((reach + 1, n), bool)
+    repeated, shared = np.zeros((reach + 1, n), bool), np.zeros((passage - gram + 1, n), bool)
 
     def insert(column: np.ndarray) -> None:
         nonlocal order, common
@@ -220,7 +238,13 @@ def repeated_distances(groups: np.ndarray, left: np.ndarray, right: np.ndarray,
         enough = common >= length
         hit = enough.copy()
         hit[:-1] |= enough[1:]
-        out[distance, order] = hit
+        repeated[distance, order] = hit
+        if distance < len(shared):
+            heads = np.flatnonzero(common < passage)
+            sizes = np.diff(np.append(heads, n))
+            those = docs[order]
+            least, most = np.minimum.reduceat(those, heads), np.maximum.reduceat(those, heads)
+            shared[distance, order] = np.repeat((sizes > 1) & ((least != most) | (least < 0)), sizes)
 
     for k in reversed(range(reach)):
         insert(right[k])
@@ -229,7 +253,7 @@ def repeated_distances(groups: np.ndarray, left: np.ndarray, right: np.ndarray,
     for distance in range(1, reach + 1):
         insert(left[reach - distance])
         note(distance)
-    return out
+    return repeated, shared
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -237,29 +261,39 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-RANGE_SCHEMA = "gram long, segment long, low int, high int"
+#: Distances low to high of a segment; what: 0 for repeated windows, 1 for shared passages, 2 for both.
+RANGE_SCHEMA = "gram long, segment long, low int, high int, what int"
 
 
 def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "segment", "low", "high"])
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "segment", "low", "high", "what"])
 
 
-def _compare(length: int, gram: int, block: int):
+def _compare(length: int, passage: int, gram: int, block: int):
     """Column-wise comparison of segments sorted by gram, in blocks of whole groups."""
     reach = length - gram
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        groups = np.array([r[0] for r in rows], np.int64)
-        flags = repeated_distances(groups, _symbols([r[3] for r in rows], reach, True), _symbols([r[4] for r in rows], reach, False), gram, length)
-        any_hit = flags.any(axis=0)
-        return _range_batch([(r[0], r[1], low, high) for i, r in enumerate(rows) if any_hit[i] and r[2] for low, high in _spans(flags[:, i])])
+        cores = [(r[0], r[5][r[4] : r[4] + gram]) for r in rows]
+        number = {c: i for i, c in enumerate(sorted(set(cores)))}
+        groups = np.array([number[c] for c in cores], np.int64)
+        by = np.argsort(groups, kind="stable")
+        rows, groups = [rows[i] for i in by.tolist()], groups[by]
+        docs = np.unique(np.array([r[3] if r[3] is not None else 0 for r in rows], np.int64), return_inverse=True)[1].astype(np.int64)
+        docs[np.array([r[3] is None for r in rows], bool)] = -1
+        flags = repeated_distances(groups, docs, _symbols([r[5][: r[4]] for r in rows], reach, True), _symbols([r[5][r[4] + gram :] for r in rows], reach, False), gram, length, passage)
+        out = []
+        for what, (found, wanted) in enumerate(zip(flags, ([r[2] for r in rows], [r[3] is not None for r in rows]), strict=True)):
+            some = found.any(axis=0)
+            out += [(r[0], r[1], low, high, what) for i, r in enumerate(rows) if some[i] and wanted[i] for low, high in _spans(found[:, i])]
+        return _range_batch(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("gram", "segment", "single", "left", "right")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in _SEGMENT_FIELDS), strict=True):
                 if len(held) >= block and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
@@ -270,33 +304,37 @@ def _compare(length: int, gram: int, block: int):
     return run
 
 
-HOT_SCHEMA = "gram long, segment long, single boolean, distance int, window long"
+HOT_SCHEMA = "gram long, segment long, single boolean, doc long, what int, distance int, window long"
 
 
-def _hash_windows(length: int, gram: int):
-    """A hash for each window of a segment of a hot gram, from its bytes beside the gram."""
-    reach = length - gram
+def _hash_windows(length: int, passage: int, gram: int):
+    """A hash for each window of a segment of a hot gram."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for g, s, single, left, right in zip(*(batch.column(n).to_pylist() for n in ("gram", "segment", "single", "left", "right")), strict=True):
-                data = np.frombuffer(left + right, np.uint8)
-                sums = prefix_hash(_BYTES[data])
-                distance = np.arange(max(0, reach - len(right)), len(left) + 1)
-                if not len(distance):
-                    continue
-                low, high = len(left) - distance, len(left) + reach - distance
-                _, down = powers(len(sums))
-                window = mix((sums[high] - sums[low]) * down[low])
-                for column, values in zip(out, (np.full(len(distance), g), np.full(len(distance), s), np.full(len(distance), single), distance.astype(np.int32), signed(window)), strict=True):
-                    column.append(values)
+            out: list[list] = [[] for _ in range(7)]
+            for g, s, single, doc, at, raw in zip(*(batch.column(n).to_pylist() for n in _SEGMENT_FIELDS), strict=True):
+                view = memoryview(raw)
+                for what, size in enumerate((length, passage)):
+                    distances = range(max(0, at + size - len(raw)), min(at, size - gram) + 1)
+                    hashes = [xxhash.xxh3_64_intdigest(view[at - d : at - d + size]) for d in distances]
+                    for column, values in zip(out, ([g] * len(hashes), [s] * len(hashes), [single] * len(hashes), [doc] * len(hashes), [what] * len(hashes), distances, hashes), strict=True):
+                        column.extend(values)
+                if len(out[0]) > 100_000:
+                    yield _hot_batch(out)
+                    out = [[] for _ in range(7)]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "segment", "single", "distance", "window"])
+                yield _hot_batch(out)
 
     return run
 
 
+def _hot_batch(out: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+    columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=False)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(out[6], U64).view(np.int64))], ["gram", "segment", "single", "doc", "what", "distance", "window"])
+
+
 def _joined_distances() -> Column:
     """Runs of consecutive distances of a set, as (low, high)."""
     points = F.transform(F.array_sort("d"), lambda x: F.struct(x.alias("s"), (x + 1).alias("e")))
@@ -305,69 +343,84 @@ def _joined_distances() -> Column:
     return F.transform(merged_runs(moved), lambda r: F.struct((r["s"] - 1).alias("low"), (r["e"] - 2).alias("high")))
 
 
-RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
 
 
-def _remove(keep_text: bool):
+def _covered(size: int, runs: list[dict] | None) -> np.ndarray:
+    mask = np.zeros(size + 1, np.int64)
+    for c in runs or ():
+        mask[min(size, c["s"])] += 1
+        mask[min(size, c["e"])] -= 1
+    return np.cumsum(mask[:-1]) > 0
+
+
+def _remove(length: int, passage: int, words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 data, offsets = text_bytes(batch.column("text"))
-                columns: list[list] = [[], [], [], [], []]
-                for i, cover in enumerate(batch.column("cover").to_pylist()):
+                columns: list[list] = [[] for _ in range(7)]
+                for i, (cover, shared) in enumerate(zip(batch.column("cover").to_pylist(), batch.column("shared").to_pylist(), strict=True)):
                     raw = data[offsets[i] : offsets[i + 1]]
-                    mask = np.zeros(len(raw) + 1, np.int64)
-                    for c in cover or ():
-                        mask[c["s"]] += 1
-                        mask[min(len(raw), c["e"])] -= 1
-                    gone = np.cumsum(mask[:-1]) > 0
+                    # A text too short for a window has none, whatever its anchors share.
+                    gone = _covered(len(raw), cover if len(raw) >= length else None)
+                    runs = [(a, b) for a, b in _spans(_covered(len(raw), shared if len(raw) >= passage else None)) if len(raw[a : b + 1].tobytes().split()) >= words]
                     kept = raw[~gone].tobytes()
-                    columns[0].append(len(raw))
-                    columns[1].append(int(gone.sum()))
-                    columns[2].append(len(_spans(gone)))
-                    columns[3].append(hashlib.sha256(kept).hexdigest())
-                    columns[4].append(kept if keep_text else None)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    made = (len(raw), int(gone.sum()), len(_spans(gone)), hashlib.sha256(kept).hexdigest(), len(runs), sum(b - a + 1 for a, b in runs), kept)
+                    for column, value in zip(columns, made, strict=True):
+                        column.append(value)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes", "kept"])
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
-    """Per document row: id, bytes, removed bytes, removed runs, hash of the rest (and the rest itself if wanted).
+def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM, words: int = WORDS, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
+    """Per document row: id, bytes, removed bytes, removed runs, hash of the rest (and the rest itself if wanted), shared passages and their bytes.
 
     A document is told by its id where ids are unique and present, else by a 64-bit hash of id and text.
     """
-    reach = length - gram
+    if not gram < passage <= length:
+        raise ValueError("gram < passage <= length is needed")
+    reach, short_reach = length - gram, passage - gram
     ids = docs.select(F.col(key).cast("long").alias("doc_id"))
     unique = ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty()
     uid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select(uid.alias("uid"), "doc_id", "text")
     with Scratch(spark) as scratch, arrow_batches(spark, 1000):
-        found = scratch.table(source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, gram)), ANCHOR_SCHEMA))
-        several = scratch.table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-        repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi"))
-        kinds = scratch.table(repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")))
+        grams = source.select("text").mapInArrow(frugal(_find_anchors(length, passage, gram, True)), "gram long")
+        several = scratch.table(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+        found = source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, passage, gram, False)), ANCHOR_SCHEMA)
+        repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi").select("uid", "pos", "gram", "segment"))
+        kinds = repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at"), F.max("uid").alias("last"))
+        kinds = scratch.table(kinds.select("gram", "segment", (F.col("n") == 1).alias("single"), "at.pos", "at.uid", F.when(F.col("at.uid") == F.col("last"), F.col("last")).alias("doc")))
         unlike = scratch.table(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
         mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
-        wanted = scratch.table(mixed.select("at.uid", F.struct("at.pos", "gram", "segment", (F.col("n") == 1).alias("single")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted")))
+        wanted = scratch.table(mixed.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "segment", "single", "doc")).alias("wanted")))
         segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram)), SEGMENT_SCHEMA))
         hot = settled(segments.groupBy("gram").count().where(F.col("count") > block).select("gram"))
         some_hot = not hot.isEmpty()
         usual = segments.join(sized(hot), "gram", "left_anti") if some_hot else segments
-        ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(frugal(_compare(length, gram, block)), RANGE_SCHEMA)
+        ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(frugal(_compare(length, passage, gram, block)), RANGE_SCHEMA)
         if some_hot:
-            windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(frugal(_hash_windows(length, gram)), HOT_SCHEMA)
-            counted = windows.groupBy("gram", "distance", "window").agg(F.count("*").alias("n")).where("n > 1")
-            again = windows.where("single").join(counted, ["gram", "distance", "window"], "left_semi")
-            ranges = ranges.unionByName(again.groupBy("gram", "segment").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances())))
-        # Every occurrence of a kind that occurs twice is covered whole; the ranges are of kinds that occur once.
-        whole = kinds.where("n > 1").select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"))
+            windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(frugal(_hash_windows(length, passage, gram)), HOT_SCHEMA)
+            counted = windows.groupBy("gram", "what", "distance", "window").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("doc").alias("known"))
+            counted = counted.where((F.col("n") > 1) & ((F.col("what") == 0) | (F.col("known") < F.col("n")) | (F.col("a") != F.col("b")))).drop("n", "a", "b", "known")
+            again = windows.where(F.when(F.col("what") == 0, F.col("single")).otherwise(F.col("doc").isNotNull())).join(counted, ["gram", "what", "distance", "window"], "left_semi")
+            ranges = ranges.unionByName(again.groupBy("gram", "segment", "what").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances()), "what"))
+        # Every occurrence of a segment that occurs twice is covered whole; one of several documents is shared whole.
+        whole = kinds.where(~F.col("single")).select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"), F.when(F.col("doc").isNull(), 2).otherwise(0).alias("what"))
         ranges = scratch.table(whole.unionByName(ranges))
-        cover = repeated.select("uid", "pos", "gram", "segment").join(ranges, ["gram", "segment"])
-        run = F.struct(F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("s"), (F.col("pos") - F.col("low") + length).alias("e"))
-        cover = scratch.table(cover.groupBy("uid").agg(merged_runs(F.array_sort(F.collect_list(run))).alias("cover")))
-        joined = source.join(sized(cover, CELLS, F.size("cover")), "uid", "left").select("doc_id", "text", "cover")
-        schema = RESULT_SCHEMA + ", kept binary"
-        result = joined.mapInArrow(frugal(_remove(keep_text)), schema)
+        cover = repeated.join(ranges, ["gram", "segment"])
+
+        def cut(high: Column, size: int) -> Column:
+            return F.struct(F.greatest(F.col("pos") - high, F.lit(0)).alias("s"), (F.col("pos") - F.col("low") + size).alias("e"))
+
+        def merged(run: Column) -> Column:
+            return merged_runs(F.array_sort(F.collect_list(run)))
+
+        long, short = F.when(F.col("what") != 1, cut(F.col("high"), length)), F.when(F.col("what") != 0, cut(F.least(F.col("high"), F.lit(short_reach)), passage))
+        cover = scratch.table(cover.groupBy("uid").agg(merged(long).alias("cover"), merged(short).alias("shared")))
+        joined = source.join(sized(cover, CELLS, F.size("cover") + F.size("shared")), "uid", "left").select("doc_id", "text", "cover", "shared")
+        result = joined.mapInArrow(frugal(_remove(length, passage, words)), RESULT_SCHEMA + ", kept binary")
         return settled(result if keep_text else result.drop("kept"))
