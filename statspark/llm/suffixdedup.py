@@ -1,12 +1,11 @@
 """Exact removal of repeated byte strings by a column-wise suffix construction over anchored segments.
 
 Wanted: every byte covered by a ``length``-byte string that also starts
-elsewhere; and, beside it, the passages of at least ``words`` words made of
-``passage``-byte strings that stand in another document too. A column-wise
-construction over whole documents takes as many sequential passes as the
-longest document has bytes, so the collection is cut down first:
+elsewhere; and, beside it, the passages a document shares with other documents.
+A column-wise construction over whole documents takes as many sequential passes
+as the longest document has bytes, so the collection is cut down first:
 
-1. Anchors. In every window of ``passage`` bytes the leftmost least hash of its
+1. Anchors. In every window of ``length`` bytes the leftmost least hash of its
    ``gram``-byte strings is an anchor. Equal windows have the same anchor at the
    same place, so repeats only touch anchors whose gram occurs twice. A first
    scan counts the grams; a second keeps the anchors of those that repeat.
@@ -21,9 +20,14 @@ longest document has bytes, so the collection is cut down first:
    old neighbours between them. The columns of the gram itself are equal and
    are inserted at once. Where a suffix at distance l before the gram shares
    ``length`` symbols with a neighbour, the window there is repeated; where a run of
-   neighbours shares ``passage`` symbols and has two documents, the window is a shared passage.
+   such neighbours has two documents, it is shared.
 4. Cover. Each anchor's distances cover bytes of its document; their union counts.
 
+Passages: the bytes covered by ``length``-byte strings that another document
+has too; for documents without one, the runs of at least ``words`` words covered
+by ``passage``-byte strings that another document has too. For these the steps
+run again with the shorter length, over the anchors whose gram stands in such a document.
+
 Grams shared by more than ``block`` unlike segments are not compared in one task:
 each window of such a segment is hashed, and Spark counts the hashes (salted by
 distance, pre-aggregated), in work linear in the segments.
@@ -51,9 +55,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_batches, frugal, merged_runs, pieces, settled, sized
 from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices, text_bytes
 
-LENGTH, PASSAGE, GRAM = 400, 240, 64
-#: Words that a shared passage has at least.
-WORDS = 50
+LENGTH, GRAM = 400, 128
+#: Bytes and words that a shared passage has at least; its grams.
+PASSAGE, WORDS, PASSAGE_GRAM = 240, 50, 64
 BLOCK = 16_000
 #: Grams (16 bytes each) and list entries (40 bytes each) up to which a table is sent to every executor.
 GRAMS, CELLS = 2_000_000, 1_500_000
@@ -70,7 +74,7 @@ def _gram_hashes(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, mix((sums[gram:] - sums[:count]) * down[:count])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Anchor positions and hashes of their grams."""
     none = np.zeros(0, np.int64), np.zeros(0, U64)
     if len(data) < window:
@@ -120,22 +124,42 @@ def _parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, in
                 yield a, b, max(low, at - 2 * length), min(high, at + step + 2 * length), at, min(high, at + step)
 
 
-def _find_anchors(length: int, passage: int, gram: int, grams_only: bool):
+def _anchored(column: pa.Array, length: int, gram: int) -> Iterator[tuple]:
+    """Of each part of a batch: bytes, offsets, anchors, their grams and texts, the first text's row, and where each text begins."""
+    data, offsets = text_bytes(column)
+    for a, b, low, high, first, last in _parts(offsets, length):
+        local = np.clip(offsets[a : b + 1] - low, 0, high - low)
+        at, grams = anchors(data[low:high], local, length, gram)
+        mine = (at >= first - low) & (at < last - low)
+        at, grams = at[mine], grams[mine]
+        yield data[low:high], local, at, grams, np.searchsorted(local, at, side="right") - 1, a, offsets[a : b + 1] - low
+
+
+def _find_grams(forms: tuple[tuple[int, int, bool], ...]):
+    """The distinct grams of each text's anchors, or all of them, for each form (length, gram, whether distinct)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                data, offsets = text_bytes(batch.column("text"))
-                for a, b, low, high, first, last in _parts(offsets, length):
-                    local = np.clip(offsets[a : b + 1] - low, 0, high - low)
-                    at, grams = anchors(data[low:high], local, passage, gram)
-                    mine = (at >= first - low) & (at < last - low)
-                    at, grams = at[mine], grams[mine]
-                    if grams_only:
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(grams))], ["gram"])
-                        continue
-                    of = np.searchsorted(local, at, side="right") - 1
-                    segments = segment_hashes(data[low:high], local, at, of, length, gram)
-                    place = at + low - offsets[a + of]
+                for form, (length, gram, distinct) in enumerate(forms):
+                    for _, _, _, grams, of, _, _ in _anchored(batch.column("text"), length, gram):
+                        if distinct and len(grams):
+                            by = np.lexsort((grams, of))
+                            new = np.ones(len(by), bool)
+                            new[1:] = (np.diff(of[by]) != 0) | (grams[by][1:] != grams[by][:-1])
+                            grams = grams[by][new]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), form, np.int32)), pa.array(signed(grams))], ["form", "gram"])
+
+    return run
+
+
+def _find_anchors(length: int, gram: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                for data, local, at, grams, of, a, starts in _anchored(batch.column("text"), length, gram):
+                    segments = segment_hashes(data, local, at, of, length, gram)
+                    place = at - starts[of]
                     yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(a + of)), pa.array(place.astype(np.int32)), pa.array(signed(grams)), pa.array(signed(segments))], ["uid", "pos", "gram", "segment"])
 
     return run
@@ -203,11 +227,11 @@ def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray, longes
     return out
 
 
-def repeated_distances(groups: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int, length: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_distances(groups: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each aligned segment (grouped, in order) the distances before the gram whose window has an equal in its group.
 
     ``left`` and ``right`` are columns x segments. The first array (distances x segments) is of
-    windows of ``length``; the second of windows of ``passage`` that two documents have
+    windows that occur twice; the second of those that two documents have
     (``docs``: a number a document, -1 for several).
     """
     n, reach = len(groups), length - gram
@@ -219,7 +243,7 @@ def repeated_distances(groups: np.ndarray, docs: np.ndarray, left: np.ndarray, r
     starts = np.flatnonzero(border)
     longest = int(np.diff(np.append(starts, n)).max(initial=1))
     rank = np.cumsum(border).astype(np.int64)
-    repeated, shared = np.zeros((reach + 1, n), bool), np.zeros((passage - gram + 1, n), bool)
+    repeated, shared = np.zeros((reach + 1, n), bool), np.zeros((reach + 1, n), bool)
 
     def insert(column: np.ndarray) -> None:
         nonlocal order, common
@@ -235,16 +259,12 @@ def repeated_distances(groups: np.ndarray, docs: np.ndarray, left: np.ndarray, r
         order, common = order[place], fresh
 
     def note(distance: int) -> None:
-        enough = common >= length
-        hit = enough.copy()
-        hit[:-1] |= enough[1:]
-        repeated[distance, order] = hit
-        if distance < len(shared):
-            heads = np.flatnonzero(common < passage)
-            sizes = np.diff(np.append(heads, n))
-            those = docs[order]
-            least, most = np.minimum.reduceat(those, heads), np.maximum.reduceat(those, heads)
-            shared[distance, order] = np.repeat((sizes > 1) & ((least != most) | (least < 0)), sizes)
+        heads = np.flatnonzero(common < length)
+        sizes = np.diff(np.append(heads, n))
+        those = docs[order]
+        least, most = np.minimum.reduceat(those, heads), np.maximum.reduceat(those, heads)
+        repeated[distance, order] = np.repeat(sizes > 1, sizes)
+        shared[distance, order] = np.repeat((sizes > 1) & ((least != most) | (least < 0)), sizes)
 
     for k in reversed(range(reach)):
         insert(right[k])
@@ -261,7 +281,7 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-#: Distances low to high of a segment; what: 0 for repeated windows, 1 for shared passages, 2 for both.
+#: Distances low to high of a segment; what: 0 for repeated windows, 1 for shared ones, 2 for both.
 RANGE_SCHEMA = "gram long, segment long, low int, high int, what int"
 
 
@@ -271,7 +291,7 @@ def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "segment", "low", "high", "what"])
 
 
-def _compare(length: int, passage: int, gram: int, block: int):
+def _compare(length: int, gram: int, block: int):
     """Column-wise comparison of segments sorted by gram, in blocks of whole groups."""
     reach = length - gram
 
@@ -283,7 +303,7 @@ def _compare(length: int, passage: int, gram: int, block: int):
         rows, groups = [rows[i] for i in by.tolist()], groups[by]
         docs = np.unique(np.array([r[3] if r[3] is not None else 0 for r in rows], np.int64), return_inverse=True)[1].astype(np.int64)
         docs[np.array([r[3] is None for r in rows], bool)] = -1
-        flags = repeated_distances(groups, docs, _symbols([r[5][: r[4]] for r in rows], reach, True), _symbols([r[5][r[4] + gram :] for r in rows], reach, False), gram, length, passage)
+        flags = repeated_distances(groups, docs, _symbols([r[5][: r[4]] for r in rows], reach, True), _symbols([r[5][r[4] + gram :] for r in rows], reach, False), gram, length)
         out = []
         for what, (found, wanted) in enumerate(zip(flags, ([r[2] for r in rows], [r[3] is not None for r in rows]), strict=True)):
             some = found.any(axis=0)
@@ -304,25 +324,24 @@ def _compare(length: int, passage: int, gram: int, block: int):
     return run
 
 
-HOT_SCHEMA = "gram long, segment long, single boolean, doc long, what int, distance int, window long"
+HOT_SCHEMA = "gram long, segment long, single boolean, doc long, distance int, window long"
 
 
-def _hash_windows(length: int, passage: int, gram: int):
+def _hash_windows(length: int, gram: int):
     """A hash for each window of a segment of a hot gram."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for g, s, single, doc, at, raw in zip(*(batch.column(n).to_pylist() for n in _SEGMENT_FIELDS), strict=True):
                 view = memoryview(raw)
-                for what, size in enumerate((length, passage)):
-                    distances = range(max(0, at + size - len(raw)), min(at, size - gram) + 1)
-                    hashes = [xxhash.xxh3_64_intdigest(view[at - d : at - d + size]) for d in distances]
-                    for column, values in zip(out, ([g] * len(hashes), [s] * len(hashes), [single] * len(hashes), [doc] * len(hashes), [what] * len(hashes), distances, hashes), strict=True):
-                        column.extend(values)
+                distances = range(max(0, at + length - len(raw)), min(at, length - gram) + 1)
+                hashes = [xxhash.xxh3_64_intdigest(view[at - d : at - d + length]) for d in distances]
+                for column, values in zip(out, ([g] * len(hashes), [s] * len(hashes), [single] * len(hashes), [doc] * len(hashes), distances, hashes), strict=True):
+                    column.extend(values)
                 if len(out[0]) > 100_000:
                     yield _hot_batch(out)
-                    out = [[] for _ in range(7)]
+                    out = [[] for _ in range(6)]
             if out[0]:
                 yield _hot_batch(out)
 
@@ -330,9 +349,9 @@ def _hash_windows(length: int, passage: int, gram: int):
 
 
 def _hot_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()]
     columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=False)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(out[6], U64).view(np.int64))], ["gram", "segment", "single", "doc", "what", "distance", "window"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(out[5], U64).view(np.int64))], ["gram", "segment", "single", "doc", "distance", "window"])
 
 
 def _joined_distances() -> Column:
@@ -354,17 +373,18 @@ def _covered(size: int, runs: list[dict] | None) -> np.ndarray:
     return np.cumsum(mask[:-1]) > 0
 
 
-def _remove(length: int, passage: int, words: int):
+def _remove(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 data, offsets = text_bytes(batch.column("text"))
                 columns: list[list] = [[] for _ in range(7)]
-                for i, (cover, shared) in enumerate(zip(batch.column("cover").to_pylist(), batch.column("shared").to_pylist(), strict=True)):
+                for i, (cover, shared, short) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cover", "shared", "short")), strict=True)):
                     raw = data[offsets[i] : offsets[i + 1]]
-                    # A text too short for a window has none, whatever its anchors share.
-                    gone = _covered(len(raw), cover if len(raw) >= length else None)
-                    runs = [(a, b) for a, b in _spans(_covered(len(raw), shared if len(raw) >= passage else None)) if len(raw[a : b + 1].tobytes().split()) >= words]
+                    gone = _covered(len(raw), cover)
+                    runs = _spans(_covered(len(raw), shared or short))
+                    if not shared:
+                        runs = [(a, b) for a, b in runs if len(raw[a : b + 1].tobytes().split()) >= words]
                     kept = raw[~gone].tobytes()
                     made = (len(raw), int(gone.sum()), len(_spans(gone)), hashlib.sha256(kept).hexdigest(), len(runs), sum(b - a + 1 for a, b in runs), kept)
                     for column, value in zip(columns, made, strict=True):
@@ -375,52 +395,61 @@ def _remove(length: int, passage: int, words: int):
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM, words: int = WORDS, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
+def _covers(scratch: Scratch, source: DataFrame, several: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """Per document with repeats: runs covered by repeated strings (``cover``) and by those another document has (``shared``)."""
+    reach = length - gram
+    found = source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, gram)), ANCHOR_SCHEMA)
+    repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi").select("uid", "pos", "gram", "segment"))
+    kinds = repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at"), F.max("uid").alias("last"))
+    kinds = scratch.table(kinds.select("gram", "segment", (F.col("n") == 1).alias("single"), "at.pos", "at.uid", F.when(F.col("at.uid") == F.col("last"), F.col("last")).alias("doc")))
+    unlike = scratch.table(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
+    mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
+    wanted = scratch.table(mixed.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "segment", "single", "doc")).alias("wanted")))
+    segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram)), SEGMENT_SCHEMA))
+    hot = settled(segments.groupBy("gram").count().where(F.col("count") > block).select("gram"))
+    some_hot = not hot.isEmpty()
+    usual = segments.join(sized(hot), "gram", "left_anti") if some_hot else segments
+    ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(frugal(_compare(length, gram, block)), RANGE_SCHEMA)
+    if some_hot:
+        windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(frugal(_hash_windows(length, gram)), HOT_SCHEMA)
+        counted = windows.groupBy("gram", "distance", "window").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("doc").alias("known")).where("n > 1")
+        counted = counted.select("gram", "distance", "window", ((F.col("known") < F.col("n")) | (F.col("a") != F.col("b"))).alias("across"))
+        again = windows.where(F.col("single") | F.col("doc").isNotNull()).join(counted, ["gram", "distance", "window"])
+        again = again.select("gram", "segment", "distance", F.explode(F.array(F.when(F.col("single"), 0), F.when(F.col("across") & F.col("doc").isNotNull(), 1))).alias("what")).where("what is not null")
+        ranges = ranges.unionByName(again.groupBy("gram", "segment", "what").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances()), "what"))
+    # Every occurrence of a segment that occurs twice is covered whole; one of several documents is shared whole.
+    whole = kinds.where(~F.col("single")).select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"), F.when(F.col("doc").isNull(), 2).otherwise(0).alias("what"))
+    ranges = scratch.table(whole.unionByName(ranges))
+    run = F.struct(F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("s"), (F.col("pos") - F.col("low") + length).alias("e"))
+
+    def merged(on: Column) -> Column:
+        return merged_runs(F.array_sort(F.collect_list(F.when(on, run))))
+
+    cover = repeated.join(ranges, ["gram", "segment"]).groupBy("uid")
+    return scratch.table(cover.agg(merged(F.col("what") != 1).alias("cover"), merged(F.col("what") != 0).alias("shared")))
+
+
+def remove_repeats(
+    spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = WORDS, passage_gram: int = PASSAGE_GRAM, block: int = BLOCK, keep_text: bool = False
+) -> DataFrame:
     """Per document row: id, bytes, removed bytes, removed runs, hash of the rest (and the rest itself if wanted), shared passages and their bytes.
 
     A document is told by its id where ids are unique and present, else by a 64-bit hash of id and text.
     """
-    if not gram < passage <= length:
-        raise ValueError("gram < passage <= length is needed")
-    reach, short_reach = length - gram, passage - gram
     ids = docs.select(F.col(key).cast("long").alias("doc_id"))
     unique = ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty()
     uid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select(uid.alias("uid"), "doc_id", "text")
+    forms, grams_schema = ((length, gram, False), (passage, passage_gram, True)), "form int, gram long"
     with Scratch(spark) as scratch, arrow_batches(spark, 1000):
-        grams = source.select("text").mapInArrow(frugal(_find_anchors(length, passage, gram, True)), "gram long")
-        several = scratch.table(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-        found = source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, passage, gram, False)), ANCHOR_SCHEMA)
-        repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi").select("uid", "pos", "gram", "segment"))
-        kinds = repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at"), F.max("uid").alias("last"))
-        kinds = scratch.table(kinds.select("gram", "segment", (F.col("n") == 1).alias("single"), "at.pos", "at.uid", F.when(F.col("at.uid") == F.col("last"), F.col("last")).alias("doc")))
-        unlike = scratch.table(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
-        mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
-        wanted = scratch.table(mixed.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "segment", "single", "doc")).alias("wanted")))
-        segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram)), SEGMENT_SCHEMA))
-        hot = settled(segments.groupBy("gram").count().where(F.col("count") > block).select("gram"))
-        some_hot = not hot.isEmpty()
-        usual = segments.join(sized(hot), "gram", "left_anti") if some_hot else segments
-        ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(frugal(_compare(length, passage, gram, block)), RANGE_SCHEMA)
-        if some_hot:
-            windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(frugal(_hash_windows(length, passage, gram)), HOT_SCHEMA)
-            counted = windows.groupBy("gram", "what", "distance", "window").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("doc").alias("known"))
-            counted = counted.where((F.col("n") > 1) & ((F.col("what") == 0) | (F.col("known") < F.col("n")) | (F.col("a") != F.col("b")))).drop("n", "a", "b", "known")
-            again = windows.where(F.when(F.col("what") == 0, F.col("single")).otherwise(F.col("doc").isNotNull())).join(counted, ["gram", "what", "distance", "window"], "left_semi")
-            ranges = ranges.unionByName(again.groupBy("gram", "segment", "what").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances()), "what"))
-        # Every occurrence of a segment that occurs twice is covered whole; one of several documents is shared whole.
-        whole = kinds.where(~F.col("single")).select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"), F.when(F.col("doc").isNull(), 2).otherwise(0).alias("what"))
-        ranges = scratch.table(whole.unionByName(ranges))
-        cover = repeated.join(ranges, ["gram", "segment"])
-
-        def cut(high: Column, size: int) -> Column:
-            return F.struct(F.greatest(F.col("pos") - high, F.lit(0)).alias("s"), (F.col("pos") - F.col("low") + size).alias("e"))
-
-        def merged(run: Column) -> Column:
-            return merged_runs(F.array_sort(F.collect_list(run)))
-
-        long, short = F.when(F.col("what") != 1, cut(F.col("high"), length)), F.when(F.col("what") != 0, cut(F.least(F.col("high"), F.lit(short_reach)), passage))
-        cover = scratch.table(cover.groupBy("uid").agg(merged(long).alias("cover"), merged(short).alias("shared")))
-        joined = source.join(sized(cover, CELLS, F.size("cover") + F.size("shared")), "uid", "left").select("doc_id", "text", "cover", "shared")
-        result = joined.mapInArrow(frugal(_remove(length, passage, words)), RESULT_SCHEMA + ", kept binary")
+        grams = source.select("text").mapInArrow(frugal(_find_grams(forms)), grams_schema)
+        several = scratch.table(grams.groupBy("form", "gram").agg(F.count("*").alias("n")).where("n > 1").select("form", "gram"))
+        cover = _covers(scratch, source, several.where("form = 0").select("gram"), length, gram, block)
+        known = sized(cover.where(F.size("shared") > 0).select("uid"))
+        rest = source.join(known, "uid", "left_anti").select("text").mapInArrow(frugal(_find_grams(forms[1:])), grams_schema)
+        candidates = scratch.table(rest.select("gram").join(sized(several.where("form = 1").select("gram"), GRAMS), "gram", "left_semi").distinct())
+        short = _covers(scratch, source, candidates, passage, passage_gram, block).where(F.size("shared") > 0).select("uid", F.col("shared").alias("short"))
+        cover = scratch.table(cover.join(short, "uid", "full"))
+        joined = source.join(sized(cover, CELLS, sum(F.coalesce(F.size(c), F.lit(0)) for c in ("cover", "shared", "short"))), "uid", "left").select("doc_id", "text", "cover", "shared", "short")
+        result = joined.mapInArrow(frugal(_remove(words)), RESULT_SCHEMA + ", kept binary")
         return settled(result if keep_text else result.drop("kept"))

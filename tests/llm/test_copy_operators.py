@@ -40,31 +40,37 @@ def passages(seed):
     return [*texts, texts[0], texts[1] + "x", "x" + texts[2], "ab" * 200, "ab" * 30, None, "", "\u00e9" * 90]
 
 
-def shared_passages(texts, passage, words):
-    """Runs of at least so many words covered by strings that another document has too: their number and bytes."""
-    raws = [(t or "").encode() for t in texts]
+def shared_runs(raws, size):
+    """Runs of each text covered by strings of a size that another text has too."""
     held = {}
     for k, raw in enumerate(raws):
-        for i in range(len(raw) - passage + 1):
-            held.setdefault(raw[i : i + passage], set()).add(k)
-    out = []
+        for i in range(len(raw) - size + 1):
+            held.setdefault(raw[i : i + size], set()).add(k)
     for raw in raws:
         mask = np.zeros(len(raw) + 2, bool)
-        for i in range(len(raw) - passage + 1):
-            if len(held[raw[i : i + passage]]) > 1:
-                mask[i + 1 : i + passage + 1] = True
+        for i in range(len(raw) - size + 1):
+            if len(held[raw[i : i + size]]) > 1:
+                mask[i + 1 : i + size + 1] = True
         edges = np.flatnonzero(np.diff(mask.astype(int)))
-        runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if len(raw[a:b].split()) >= words]
+        yield list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def shared_passages(texts, length, passage, words):
+    """Number and bytes of the long shared runs, else of the shorter ones with enough words."""
+    raws = [(t or "").encode() for t in texts]
+    out = []
+    for raw, long, short in zip(raws, shared_runs(raws, length), shared_runs(raws, passage)):
+        runs = long or [(a, b) for a, b in short if len(raw[a:b].split()) >= words]
         out.append((len(runs), sum(b - a for a, b in runs)))
     return out
 
 
-@pytest.mark.parametrize(("gram", "block", "passage"), [(30, 4000, 45), (30, 2, 40), (20, 4000, 60), (10, 5, 25)])
+@pytest.mark.parametrize(("gram", "block", "passage"), [(30, 4000, 45), (30, 2, 40), (50, 4000, 60), (10, 5, 25)])
 def test_repeated_bytes_match_brute_force(spark, gram, block, passage):
     texts = passages(gram + block)
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
-    got = suffixdedup.remove_repeats(spark, frame(spark, rows).repartition(3), length=60, passage=passage, gram=gram, words=8, block=block, keep_text=True).collect()
-    expected, shared = repeats(texts, 60), shared_passages(texts, passage, 8)
+    got = suffixdedup.remove_repeats(spark, frame(spark, rows).repartition(3), length=60, gram=gram, passage=passage, passage_gram=15, words=8, block=block, keep_text=True).collect()
+    expected, shared = repeats(texts, 60), shared_passages(texts, 60, passage, 8)
     assert len(got) == len(texts)
     for r in got:
         assert tuple(r)[1:5] == expected[r["doc_id"]], r["doc_id"]
@@ -73,17 +79,17 @@ def test_repeated_bytes_match_brute_force(spark, gram, block, passage):
 
 
 def test_awkward_rows_of_repeated_bytes(spark):
-    got = suffixdedup.remove_repeats(spark, frame(spark, extra=True), length=40, passage=30, gram=20).collect()
+    got = suffixdedup.remove_repeats(spark, frame(spark, extra=True), length=40, gram=20, passage=30, passage_gram=15).collect()
     assert len(got) == len(AWKWARD)
     assert sum(r["n_removed"] == r["n_bytes"] > 0 for r in got) == 4  # the three equal rows, and one that repeats itself
-    assert suffixdedup.remove_repeats(spark, frame(spark, []), length=40, passage=30, gram=20).count() == 0
+    assert suffixdedup.remove_repeats(spark, frame(spark, []), length=40, gram=20, passage=30, passage_gram=15).count() == 0
 
 
 def test_repeated_bytes_of_a_whole_table(spark):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text").collect()
     texts = [r["text"] for r in docs]
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op3_repeated_bytes(spark, SF).collect()}
-    expected = {r["doc_id"]: (*a, *b) for r, a, b in zip(docs, repeats(texts, suffixdedup.LENGTH), shared_passages(texts, suffixdedup.PASSAGE, suffixdedup.WORDS))}
+    expected = {r["doc_id"]: (*a, *b) for r, a, b in zip(docs, repeats(texts, suffixdedup.LENGTH), shared_passages(texts, suffixdedup.LENGTH, suffixdedup.PASSAGE, suffixdedup.WORDS))}
     assert got == expected
 
 
@@ -93,13 +99,11 @@ def test_column_construction_alone():
     left = [b"xxab", b"yyab", b"zzzb", b"abcd", b"abcd"]
     right = [b"pqrs", b"pqzz", b"pqrs", b"wwww", b"wzzz"]
     columns = suffixdedup._symbols(left, 4, True), suffixdedup._symbols(right, 4, False)
-    repeated, shared = suffixdedup.repeated_distances(groups, docs, *columns, 6, 10, 8)
-    # distance d takes d bytes before the gram, and the rest of the window after it
-    for found, reach, own in ((repeated, 4, False), (shared, 2, True)):
-        for d in range(reach + 1):
-            keys = [(g, l[4 - d :], r[: reach - d]) for g, l, r in zip(groups, left, right)]
-            expected = [Counter(keys)[k] > 1 and not (own and k[0] == 1) for k in keys]
-            assert found[d].tolist() == expected, (reach, d)
+    # distance d takes d bytes before the gram and 4 - d after it
+    for found, own in zip(suffixdedup.repeated_distances(groups, docs, *columns, 6, 10), (False, True)):
+        for d in range(5):
+            keys = [(g, l[4 - d :], r[: 4 - d]) for g, l, r in zip(groups, left, right)]
+            assert found[d].tolist() == [Counter(keys)[k] > 1 and not (own and k[0] == 1) for k in keys], d
 
 
 def near(texts, k, percent):
