@@ -31,9 +31,6 @@ BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 PER_CLASS = 4000
-MAX_LANGUAGES = 256
-#: Bytes of text scored at a time; each takes about 150 bytes of arrays.
-SLICE = 1 << 18
 
 _FOLD = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x250)], np.uint32)
 _LETTER = np.zeros(256, bool)
@@ -79,7 +76,7 @@ def _count(batches):
         for batch in pieces(whole, "text"):
             labels = np.array(batch.column("lang").to_pylist(), object)
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in slices(offsets, SLICE):
+            for a, b in slices(offsets):
                 grams, chars = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 owner = np.repeat(np.arange(a, b), np.diff(chars))
                 for label in set(labels[a:b]):
@@ -93,10 +90,10 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_class: int = PER_CLASS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """Learn from a bounded sample of the labelled rows: about ``per_class`` of each of the ``max_languages`` most frequent labels."""
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_class: int = PER_CLASS) -> LanguageModel:
+    """Learn every label, from about ``per_class`` of its rows; the model grows with the labels only."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
     share: Column = F.lit(0.0)
@@ -128,7 +125,7 @@ def score_batch(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.nd
     total = np.zeros((rows, len(model.languages)))
     length = np.ones(rows)
     letters = np.zeros(rows, bool)
-    for a, b in slices(offsets, SLICE):
+    for a, b in slices(offsets):
         local, piece = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
         letters[a:b] = _has_letter(piece, local)
         if not len(piece) or not len(model.languages):

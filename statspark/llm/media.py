@@ -98,6 +98,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     else:
         samples = np.array(data[at - 1 :].split()[: h * w * channels], np.uint8)
     image = samples.reshape(h, w, channels)
+    if not bitmap and image.max() > top:
+        raise ValueError("Netpbm sample is over the maximum")
     if bitmap:
         return (1 - image) * np.uint8(255)
     return image if top == 255 else (image.astype(np.uint16) * 255 // top).astype(np.uint8)
@@ -122,10 +124,14 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    if data[:2] == b"BM":
-        return decode_bmp(data)
-    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
-        return decode_netpbm(data)
+    """Height x width x channels; every kind of damage is a ValueError."""
+    try:
+        if data[:2] == b"BM":
+            return decode_bmp(data)
+        if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
+            return decode_netpbm(data)
+    except (OverflowError, IndexError, TypeError, struct.error) as broken:
+        raise ValueError("image is damaged") from broken
     raise ValueError("neither Netpbm nor BMP")
 
 
@@ -198,38 +204,50 @@ def store_texts(df: DataFrame, text: str = "text", form: str = "pgm") -> DataFra
     return with_arrow_columns(df, text, STORED_FIELDS, make)
 
 
-def _features(data: bytes | None) -> tuple:
-    if data is None:
-        return None, None, None, None
+def _decoded(data: bytes | None) -> np.ndarray | None:
     try:
-        image = decode(data)
-    except (ValueError, IndexError, struct.error):
-        return None, None, None, None
+        return None if data is None else decode(data)
+    except ValueError:
+        return None
+
+
+def _features(image: np.ndarray | None) -> tuple:
+    if image is None:
+        return (None,) * 4
     return image.shape[0], image.shape[1], difference_hash(image), npy_tile(image)
 
 
-def image_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with size, difference hash and NPY tile of each image."""
+def _digest(data: bytes | None, image: np.ndarray | None) -> tuple:
+    """Of a damaged image only the stored form is told."""
+    payload = None if image is None else image.tobytes()
+    read = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]))
+    return (*read, *((None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())))
 
-    def make(batch: pa.RecordBatch) -> list:
-        found = [_features(x) for x in batch.column(media).to_pylist()]
-        return [list(x) for x in zip(*found, strict=True)] if found else [[]] * 4
 
-    return with_arrow_columns(df, media, FEATURE_FIELDS, make)
+def _columns(rows: list[tuple], fields: list[T.StructField]) -> list:
+    return [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * len(fields)
 
 
-def _digest(data: bytes | None) -> tuple:
-    if data is None:
-        return (None,) * 5
-    payload = decode(data).tobytes()
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest()
+def image_features(df: DataFrame, media: str = "media") -> DataFrame:
+    """``df`` with size, difference hash and NPY tile of each image."""
+    return with_arrow_columns(df, media, FEATURE_FIELDS, lambda batch: _columns([_features(_decoded(x)) for x in batch.column(media).to_pylist()], FEATURE_FIELDS))
 
 
 def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with digests of the samples read back from each image and of its stored form."""
+    return with_arrow_columns(df, media, DIGEST_FIELDS, lambda batch: _columns([_digest(x, _decoded(x)) for x in batch.column(media).to_pylist()], DIGEST_FIELDS))
 
-    def make(batch: pa.RecordBatch) -> list:
-        found = [_digest(x) for x in batch.column(media).to_pylist()]
-        return [list(x) for x in zip(*found, strict=True)] if found else [[]] * 5
 
-    return with_arrow_columns(df, media, DIGEST_FIELDS, make)
+SUMMARY_FIELDS = [STORED_FIELDS[0], *DIGEST_FIELDS, *FEATURE_FIELDS[:3], T.StructField("tile_sha256", T.StringType())]
+
+
+def summarize_texts(df: DataFrame, text: str = "text", form: str = "pgm") -> DataFrame:
+    """``df`` with digests and features of the image that each whole text makes, in one pass that keeps no image."""
+
+    def one(raw: bytes) -> tuple:
+        stored = bytes_to_image(padded(raw), form)
+        image = decode(stored)
+        height, width, feature, tile = _features(image)
+        return len(raw), *_digest(stored, image), height, width, feature, hashlib.sha256(tile).hexdigest()
+
+    return with_arrow_columns(df, text, SUMMARY_FIELDS, lambda batch: _columns([one(r or b"") for r in batch.column(text).cast(pa.large_binary()).to_pylist()], SUMMARY_FIELDS))

@@ -133,7 +133,9 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Learn from at most ``train_rows`` labelled documents; their features, not their texts, reach the driver."""
     marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
+    # Of the labels of these documents alone, so that the bound is of rows learned from.
+    learnable = marked.join(docs.select(F.col(key).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    chosen = learnable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
     taken = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
     got = taken.mapInArrow(_extract, "label int, features binary").toArrow()
     y = np.array(got.column("label").to_pylist(), float)

@@ -62,9 +62,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
-    stored = media.store_texts(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    found = media.media_digests(media.image_features(stored))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))
+    found = media.summarize_texts(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")
 
 
 #: The contract's rules: action, host, path prefix.

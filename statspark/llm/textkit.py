@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at once: the 64-bit arrays over them stay in the cache, and are too small to be mapped anew each time.
+SLICE_BYTES = 30_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,7 +61,7 @@ def byte_values(seed: int) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the rolling base and of its inverse."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(2 * n, 1 << 17)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             run = np.full(size, base, U64)
             run[0] = 1

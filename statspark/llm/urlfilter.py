@@ -145,9 +145,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, url: str = "u
     if clean.limit(broadcast_rules + 1).count() <= broadcast_rules:
         matched = _match_shared(spark, keys, _packed(clean))
     else:
-        if scratch is None:
-            raise ValueError("a scratch folder is needed for so many rules")
-        matched = _match_distributed(spark, keys, _packed(clean), scratch)
+        with scratch or Scratch(spark) as folder:
+            matched = settled(_match_distributed(spark, keys, _packed(clean), folder))
     parts = F.from_json("rule", "rule string, host_length int, action string")
     best = matched.select("row", parts.alias("r")).groupBy("row").agg(F.max_by("r", F.struct(F.length("r.rule"), F.col("r.host_length"), F.col("r.rule"))).alias("r"))
     return named.join(best, "row", "left").select(*kept, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", F.lit(default)).alias("verdict"))

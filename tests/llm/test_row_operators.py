@@ -95,7 +95,28 @@ def test_images_round_trip_and_resize():
     assert np.load(io.BytesIO(media.npy_tile(grey, 4, 4))).shape == (4, 4, 1)
     with pytest.raises(ValueError):
         media.decode(b"GIF89a")
-    assert media._features(b"P5\nbroken") == (None,) * 4
+
+
+DAMAGED = [
+    None, b"", b"BM", b"BM" + b"\xff" * 60, b"P7\n1 1\n255\n0", b"P1\n", b"P1\n2 2\n1 0", b"P2\n1 1\n255\n300\n", b"P2\n1 1\n255\nx\n", b"P3\n1 1\n255\n1 2\n", b"P4\n9 9\n\x00", b"P5\nbroken", b"P5\n99999999999 9\n255\n\x00",
+    b"P5\n2 2\n0\n\x00\x00\x00\x00", b"P5\n1 1\n15\n\xff", b"P6\n2 2\n255\n\x00", b"P5\n" + b"9" * 5000 + b" 1\n255\n\x00", media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[:-3], b"P5\n1 1\n255\n",
+]
+
+
+def test_damaged_media_give_nulls(spark):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(DAMAGED)] + [(99, b"P5\n1 1\n255\n\x07")], "doc_id long, media binary")
+    for r in media.media_digests(media.image_features(df)).collect():
+        good = r["doc_id"] == 99
+        assert all((r[c] is not None) == good for c in ("height", "feature", "tile", "payload_bytes", "payload_sha256", "tail_crc32")), r["doc_id"]
+        assert r["media_bytes"] == (None if r["media"] is None else len(r["media"]))
+
+
+@pytest.mark.parametrize("form", ["pgm", "bmp"])
+def test_one_pass_equals_separate_passes(spark, form):
+    docs = frame(spark, extra=True).select("doc_id", "text", "media", "feature")
+    apart = media.media_digests(media.image_features(media.store_texts(docs, form=form)))
+    names = ["doc_id", *(f.name for f in media.SUMMARY_FIELDS[:-1])]
+    assert sorted(map(tuple, media.summarize_texts(docs, form=form).select(*names).collect()), key=str) == sorted(map(tuple, apart.select(*names).collect()), key=str)
 
 
 def test_licences_are_found_and_inherited(spark):

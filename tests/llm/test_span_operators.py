@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from conftest import SF
 from helpers import UPPER, frame
 from statspark.llm import decontam, pii, queries, urlfilter
-from statspark.llm.common import Scratch
 
 
 def luhn(digits):
@@ -115,8 +114,7 @@ def judged(url):
 def test_url_rules_match_brute_force(spark, limit):
     rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 3)], "page_id long, url string, rule string").repartition(3)
     rules = spark.createDataFrame(RULES, "action string, host string, path string")
-    with Scratch(spark) as scratch:
-        got = urlfilter.judge(spark, rows, rules, broadcast_rules=limit, scratch=scratch).collect()
+    got = urlfilter.judge(spark, rows, rules, broadcast_rules=limit).collect()
     assert len(got) == len(URLS) * 3
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"]), r["url"]
