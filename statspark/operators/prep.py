@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import canonical_text, col, finite
+from ..functions.columns import canonical_text, col, finite, missing_text
 from ..functions.special import corrected_skewness
 from ..model import ROW_ID, Metric, Result, Table, column_error, data_error, parameter_error
+from ..plans.order import POSITION, with_position
 from ..plans.quantiles import exact_quantiles
 from ..plans.registry import ANY, BOTH, DISCRETE, NUMERIC, QUANTITATIVE, Run, Slot, operator
 from .bins import bin_code, bin_edges
@@ -84,7 +85,7 @@ def encode_manual(run: Run) -> Result:
     mapping: dict[str, Any] = run.params["mapping"]
     text = canonical_text(col(source), run.df.schema[source].dataType)
     if run.params["include_missing"]:
-        text = F.coalesce(text, F.lit("None"))
+        text = F.coalesce(text, F.lit(missing_text(run.df.schema[source].dataType)))
     known = text.isin(list(mapping))
 
     def code(kind: T.DataType) -> Column:
@@ -203,15 +204,14 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str, params: dict[
 
 
 def _random_valid(df: DataFrame, column: str, inside: Column, outside: Column, seed: int) -> DataFrame:
-    """Each outlier gets a valid value drawn by hash: pools of valid values by bucket, joined on the bucket."""
-    buckets = 1024
-    pool = df.where(inside).groupBy(F.pmod(F.xxhash64(ROW_ID, F.lit(seed)), F.lit(buckets)).cast("int").alias("__b")).agg(F.min_by(col(column), F.xxhash64(ROW_ID, F.lit(seed + 1))).alias("__pick"))
-    pool = pool.orderBy("__b").collect()
-    if not pool:
+    """Each outlier gets the value of a valid row, drawn by hash among the positions of all of them."""
+    valid = with_position(df.where(inside).select(ROW_ID, col(column).cast("double").alias("__pick")), None).select(F.col(POSITION).alias("__at"), "__pick")
+    total = df.where(inside).count()
+    if not total:
         raise data_error("no valid value is left to draw from", column=column)
-    values = F.array(*(F.lit(float(r["__pick"])) for r in pool))
-    draw = F.pmod(F.xxhash64(ROW_ID, F.lit(seed + 2)), F.lit(len(pool))).cast("int")
-    return df.withColumn(column, F.when(outside, F.get(values, draw)).otherwise(col(column).cast("double")))
+    drawn = df.where(outside).withColumn("__at", F.pmod(F.xxhash64(ROW_ID, F.lit(seed)), F.lit(total)))
+    drawn = drawn.join(valid, "__at").withColumn(column, F.col("__pick")).select(*df.columns)
+    return df.where(~outside).withColumn(column, col(column).cast("double")).unionByName(drawn)
 
 
 def _handle(run: Run, method: str) -> Result:

@@ -65,10 +65,10 @@ def test_descriptive_statistics_match_pandas(spark):
 
 
 def test_histograms_count_every_value_once(spark):
-    pdf = fixtures.build().assign(x3=2.0)
-    result = run(spark, "descriptive_statistics.basic", pdf)
-    assert [sum(c.data["counts"]) for c in result.charts] == [90, 90, 90]
-    x = pdf["x1"]
+    pdf = fixtures.build().assign(acid=2.0)
+    result = run(spark, "descriptive_statistics.basic", pdf, {"x_columns": ["height", "sugar", "acid"]})
+    assert [sum(c.data["counts"]) for c in result.charts] == [fixtures.N] * 3
+    x = pdf["height"]
     bins = len(result.charts[0].data["counts"])
     assert result.charts[0].data["counts"] == np.histogram(x, bins)[0].tolist() and bins == len(np.histogram_bin_edges(x, "auto")) - 1
     assert [w.code for w in result.warnings] == ["CONSTANT_COLUMN"]
@@ -76,34 +76,34 @@ def test_histograms_count_every_value_once(spark):
 
 def test_infinities_and_nans_count_as_missing(spark):
     pdf = fixtures.build()
-    pdf.loc[0, "x1"], pdf.loc[1, "x1"] = float("inf"), float("nan")
-    row = run(spark, "descriptive_statistics.basic", pdf).table("descriptive_statistics").rows()[0]
-    assert (row["count"], row["missing"]) == (88, 2)
+    pdf.loc[0, "sugar"], pdf.loc[1, "sugar"] = float("inf"), float("nan")
+    row = run(spark, "descriptive_statistics.basic", pdf, {"x_columns": ["sugar"]}).table("descriptive_statistics").rows()[0]
+    assert (row["count"], row["missing"]) == (fixtures.N - 2, 2)
 
 
 def test_least_squares_match_numpy(spark):
     pdf = fixtures.build()
     result = run(spark, "linear_regression.ols")
-    x = np.column_stack([np.ones(90), pdf["x1"], pdf["x2"], pdf["group"] == "b", pdf["group"] == "c"]).astype(float)
-    beta, rss, *_ = np.linalg.lstsq(x, pdf["y_cont"], rcond=None)
-    error = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss[0] / 85)
+    x = np.column_stack([np.ones(fixtures.N), pdf["height"], pdf["girth"], *(pdf["bed"] == b for b in fixtures.BEDS[1:])]).astype(float)
+    beta, rss, *_ = np.linalg.lstsq(x, pdf["yield_kg"], rcond=None)
+    error = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss[0] / (fixtures.N - 6))
     rows = result.table("coefficients").rows()
-    assert [r["feature"] for r in rows] == ["intercept", "x1", "x2", "group=b", "group=c"]
+    assert [r["feature"] for r in rows] == ["intercept", "height", "girth", "bed=north", "bed=south", "bed=west"]
     assert np.allclose([r["coefficient"] for r in rows], beta, atol=1e-8)
     assert np.allclose([r["standard_error"] for r in rows], error, atol=1e-8)
-    residual = pdf["y_cont"] - x @ beta
+    residual = pdf["yield_kg"] - x @ beta
     assert result.metadata["durbin_watson"] == pytest.approx((np.diff(residual) ** 2).sum() / (residual**2).sum(), abs=1e-8)
     z = np.linalg.lstsq(x, residual**2, rcond=None)[0]
     r2 = 1 - ((residual**2 - x @ z) ** 2).sum() / ((residual**2 - (residual**2).mean()) ** 2).sum()
-    assert result.metadata["breusch_pagan"] == pytest.approx(90 * r2, abs=1e-6)
+    assert result.metadata["breusch_pagan"] == pytest.approx(fixtures.N * r2, abs=1e-6)
 
 
 @pytest.mark.parametrize("intercept", [True, False])
 @pytest.mark.parametrize("scaled", [True, False])
 def test_ridge_matches_the_closed_form(spark, intercept, scaled):
     pdf = fixtures.build()
-    result = run(spark, "ridge_regression.fixed_alpha", slots={"y_column": ["y_cont"], "x_columns": ["x1", "x3"]}, params={"alpha": 2.5, "include_intercept": intercept, "standardize_x": scaled})
-    x, y = pdf[["x1", "x3"]].to_numpy(), pdf["y_cont"].to_numpy()
+    result = run(spark, "ridge_regression.fixed_alpha", slots={"y_column": ["yield_kg"], "x_columns": ["height", "sugar"]}, params={"alpha": 2.5, "include_intercept": intercept, "standardize_x": scaled})
+    x, y = pdf[["height", "sugar"]].to_numpy(), pdf["yield_kg"].to_numpy()
     if scaled:
         x = (x - x.mean(0)) / x.std(0)
     xc, yc = (x - x.mean(0), y - y.mean()) if intercept else (x, y)
@@ -119,21 +119,21 @@ def test_fold_errors_from_moments_match_direct_ones(spark, intercept):
     result = run(spark, "ridge_regression.cross_validated", params={"alpha_grid": [0.5], "cv_folds": 3, "include_intercept": intercept, "standardize_x": True})
     from pyspark.sql import functions as F
 
-    folds = np.array([r[0] for r in spark.range(90).select(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(3))).collect()])
-    x = np.column_stack([pdf["x1"], pdf["x2"], pdf["group"] == "b", pdf["group"] == "c"]).astype(float)
-    x, y = (x - x.mean(0)) / x.std(0), pdf["y_cont"].to_numpy()
+    folds = np.array([r[0] for r in spark.range(fixtures.N).select(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(3))).collect()])
+    x = np.column_stack([pdf["height"], pdf["girth"], *(pdf["bed"] == b for b in fixtures.BEDS[1:])]).astype(float)
+    x, y = (x - x.mean(0)) / x.std(0), pdf["yield_kg"].to_numpy()
     errors = []
     for f in range(3):
         xt, yt = x[folds != f], y[folds != f]
         xm, ym = (xt.mean(0), yt.mean()) if intercept else (0.0, 0.0)
-        w = np.linalg.solve((xt - xm).T @ (xt - xm) + 0.5 * np.eye(4), (xt - xm).T @ (yt - ym))
+        w = np.linalg.solve((xt - xm).T @ (xt - xm) + 0.5 * np.eye(5), (xt - xm).T @ (yt - ym))
         errors.append(((y[folds == f] - ym - (x[folds == f] - xm) @ w) ** 2).mean())
     assert result.table("cv_curve").rows()[0]["mean_mse"] == pytest.approx(np.mean(errors), abs=1e-8)
 
 
 def test_components_match_an_eigenproblem(spark):
     pdf = fixtures.build()
-    x = pdf[["x1", "x2", "x3", "x4"]].to_numpy()
+    x = pdf[["height", "girth", "sugar", "acid"]].to_numpy()
     z = (x - x.mean(0)) / x.std(0)
     values = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
     result = run(spark, "principal_component_analysis.fixed_components", params={"n_components": 4})
@@ -144,15 +144,15 @@ def test_components_match_an_eigenproblem(spark):
 
 def test_kappa_and_correlations_match_direct_sums(spark):
     pdf = fixtures.build()
-    grid = pd.crosstab(pdf["rater_1"], pdf["rater_2"]).to_numpy(float)
-    po, pe = np.trace(grid) / 90, (grid.sum(0) @ grid.sum(1)) / 90**2
-    cohen = run(spark, "kappa_agreement.cohen", slots={"rater_columns": ["rater_1", "rater_2"]}, params={})
+    grid = pd.crosstab(pdf["judge_1"], pdf["judge_2"]).to_numpy(float)
+    po, pe = np.trace(grid) / fixtures.N, (grid.sum(0) @ grid.sum(1)) / fixtures.N**2
+    cohen = run(spark, "kappa_agreement.cohen", slots={"rater_columns": ["judge_1", "judge_2"]}, params={})
     assert cohen.metric("kappa") == pytest.approx((po - pe) / (1 - pe), abs=1e-10)
     rows = {(r["variable_1"], r["variable_2"]): r for r in run(spark, "correlation_analysis.pearson").tables[0].rows()}
-    assert rows["x1", "x2"]["coefficient"] == pytest.approx(np.corrcoef(pdf["x1"], pdf["x2"])[0, 1], abs=1e-10)
-    ranks = pdf["x1"].rank(), pdf["ordinal"].map({v: i for i, v in enumerate(fixtures.LEVELS)}).rank()
+    assert rows["sugar", "height"]["coefficient"] == pytest.approx(np.corrcoef(pdf["sugar"], pdf["height"])[0, 1], abs=1e-10)
+    ranks = pdf["sugar"].rank(), pdf["grade"].map({v: i for i, v in enumerate(fixtures.GRADES)}).rank()
     spearman = {(r["variable_1"], r["variable_2"]): r for r in run(spark, "correlation_analysis.spearman").tables[0].rows()}
-    assert spearman["x1", "ordinal"]["coefficient"] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-10)
+    assert spearman["sugar", "grade"]["coefficient"] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-10)
 
 
 def test_poisson_statistic_and_density_labels(spark):
@@ -161,16 +161,16 @@ def test_poisson_statistic_and_density_labels(spark):
     total = sum(r["observed"] for r in rows)
     assert sum(r["expected"] for r in rows) == pytest.approx(total, rel=1e-9)
     assert result.metric("chi_square") == pytest.approx(sum((r["observed"] - r["expected"]) ** 2 / r["expected"] for r in rows))
-    pdf = pd.DataFrame({"x1": [0.0, 0.1, 0.2, 5.0, 5.1, 5.2, 9.9], "x2": [0.0] * 3 + [5.0] * 3 + [0.5]})
+    pdf = pd.DataFrame({"height": [0.0, 0.1, 0.2, 5.0, 5.1, 5.2, 9.9], "girth": [0.0] * 3 + [5.0] * 3 + [0.5]})
     found = run(spark, "dbscan_clustering.standard", pdf, params={"eps": 0.5, "min_samples": 2, "standardize": False})
-    assert [r["cluster_dbscan"] for r in found.data.orderBy("x1").collect()] == [0, 0, 0, 1, 1, 1, -1]
+    assert [r["cluster_dbscan"] for r in found.data.orderBy("height").collect()] == [0, 0, 0, 1, 1, 1, -1]
     assert found.metric("noise_count") == 1
 
 
 def test_silhouette_matches_pairwise_distances(spark):
-    result = run(spark, "kmeans_clustering.standard", slots={"x_columns": ["x1", "x2"]}, params={"n_init": 1})
+    result = run(spark, "kmeans_clustering.standard", slots={"x_columns": ["height", "girth"]}, params={"n_init": 1})
     pdf = result.data.toPandas()
-    x = pdf[["x1", "x2"]].to_numpy()
+    x = pdf[["height", "girth"]].to_numpy()
     x = (x - x.mean(0)) / x.std(0)
     label = pdf["cluster_kmeans"].to_numpy()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -222,4 +222,4 @@ def test_average_precision_keeps_unlike_scores_apart(spark):
 def test_grey_forecast_follows_a_geometric_series(spark):
     forecast = run(spark, "grey_forecast_gm11.basic").table("gm11_forecast").rows()
     for i, r in enumerate(forecast):
-        assert r["forecast"] == pytest.approx(10 * 1.02 ** (90 + i), rel=2e-3)
+        assert r["forecast"] == pytest.approx(40 * 1.01 ** (fixtures.N + i), rel=2e-3)

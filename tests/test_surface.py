@@ -54,7 +54,7 @@ def test_the_command_line_runs_a_request(spark, tmp_path):
         assert cli.main(args) == code
         result = json.loads((tmp_path / name / "result.json").read_text())
         assert result["status"] == ("success" if code == 0 else "error") and "Traceback" not in json.dumps(result)
-    assert spark.read.parquet(str(tmp_path / "good" / "data.parquet")).where("encoded_value = 1").count() == 30
+    assert spark.read.parquet(str(tmp_path / "good" / "data.parquet")).where("encoded_value = 10").count() == (pdf["bed"] == "east").sum()
 
 
 def test_the_catalogue_can_be_inspected(capsys):

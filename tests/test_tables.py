@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 import fixtures
-from statspark.model import OperatorError
+from statspark.model import Context, FieldMeta, OperatorError, Request
 from statspark.operators.bins import bin_labels, equal_width_edges
 from statspark.operators.timeseries import filtered_decimate
 from statspark.plans.cores import ranked_counts
@@ -183,3 +183,31 @@ def test_quantiles_of_large_frames_are_exact(spark):
     assert direct[4] is None and narrowed[4] is None
     for x, y in zip(direct[:4], narrowed[:4]):
         assert y == pytest.approx(x, rel=1e-12)
+
+
+def test_texts_of_numbers_and_missing_labels(spark):
+    values = [1e7, 1e-5, 0.5, 1e16, 123456789.125, 0.0001, -2.5e-7, 1e15, 3.0, -0.0, 1.5e300, float("nan"), None]
+    pdf = pd.DataFrame({"v": values})
+    meta = {"v": FieldMeta("number", "quantitative", "scale")}
+    mapping = {**{str(v): i for i, v in enumerate(values[:11])}, "nan": 99}
+    body = Request("data_encoding.manual", {"source_column": ["v"]}, {"mapping": mapping, "include_missing": True, "unmatched": "null"}, Context("t", fields=meta))
+    got = [r["encoded_value"] for r in run_operation(spark.createDataFrame(pdf).coalesce(1), body).data.collect()]
+    assert got == [*range(11), 99, 99]
+    flags = spark.createDataFrame([(True, "x"), (None, None), (False, "y")], "b boolean, s string").coalesce(1)
+    for column, kind, mapping, expected in (("b", "boolean", {"True": 1, "None": 5}, [1, 5, None]), ("s", "string", {"x": 1, "None": 5}, [1, 5, None])):
+        body = Request("data_encoding.manual", {"source_column": [column]}, {"mapping": mapping, "include_missing": True, "unmatched": "null"}, Context("t", fields={column: FieldMeta(kind, "categorical", "nominal")}))
+        assert [r["encoded_value"] for r in run_operation(flags, body).data.collect()] == expected
+
+
+def test_outliers_are_drawn_from_all_valid_values(spark):
+    from statspark.model import ROW_ID
+    from statspark.operators.prep import _random_valid
+    from statspark.plans.order import with_row_id
+    from pyspark.sql import functions as F
+
+    df = with_row_id(spark.range(12_000).selectExpr("id", "if(id % 2 = 0, cast(id AS double), -1.0D) AS v").repartition(3))
+    inside = F.col("v") >= 0
+    got = _random_valid(df, "v", inside, ~inside, 7)
+    assert got.count() == 12_000 and got.where("v < 0").isEmpty() and got.where("id % 2 = 0 AND v <> id").isEmpty()
+    assert got.where("id % 2 = 1").select("v").distinct().count() > 3000  # 6,000 draws from 6,000 values
+    assert set(got.columns) == {"id", "v", ROW_ID}
