@@ -161,6 +161,12 @@ def q_manual(spark, d):
     return r.data.select("o_orderkey", "encoded_value")
 
 
+@add("data_encoding_manual_numbers", """SELECT l_orderkey, l_linenumber, CAST(CASE l_discount WHEN 0.0 THEN 0 WHEN 0.05 THEN 5 WHEN 0.1 THEN 10 END AS BIGINT) AS encoded_value FROM lineitem""")
+def q_manual_numbers(spark, d):
+    r = op(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), "data_encoding.manual", {"source_column": ["l_discount"]}, metas("l_discount"), mapping={"0.0": 0, "0.05": 5, "0.1": 10}, unmatched="null")
+    return r.data.select("l_orderkey", "l_linenumber", "encoded_value")
+
+
 @add("data_encoding_range", """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size >= 10 AND p_size < 30 THEN 'middle' WHEN p_size >= 40 THEN 'large' ELSE CAST(p_size AS VARCHAR) END AS encoded_value FROM part""")
 def q_range(spark, d):
     ranges = [{"maximum": 10, "value": "small"}, {"minimum": 10, "maximum": 30, "value": "middle"}, {"minimum": 40, "value": "large"}]
@@ -319,45 +325,37 @@ def q_kendall_w(spark, d):
     return small(spark, [(rounded(r.metric("kendall_w")),)], "kendall_w double")
 
 
-@add("canonical_correlation_basic")
+@add("canonical_correlation_basic", """
+WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS rx, corr(l_discount, l_tax) AS ry, corr(l_quantity, l_discount) AS a, corr(l_quantity, l_tax) AS b, corr(l_extendedprice, l_discount) AS c, corr(l_extendedprice, l_tax) AS e FROM lineitem),
+m AS (SELECT ((a - rx * c) * (a - ry * b) + (b - rx * e) * (b - ry * a) + (c - rx * a) * (c - ry * e) + (e - rx * b) * (e - ry * c)) / ((1 - rx * rx) * (1 - ry * ry)) AS tr, (a * e - b * c) * (a * e - b * c) / ((1 - rx * rx) * (1 - ry * ry)) AS det FROM r)
+SELECT k::INTEGER AS component, round(sqrt(greatest(0, (tr + (3 - 2 * k) * sqrt(greatest(0, tr * tr - 4 * det))) / 2)), 5) AS canonical_correlation FROM m, range(1, 3) t(k)""")
 def q_canonical(spark, d):
     r = op(table(spark, d, "lineitem"), "canonical_correlation.basic", {"x_set": ["l_quantity", "l_extendedprice"], "y_set": ["l_discount", "l_tax"]}, LINE_Q)
     return small(spark, [(x["component"], rounded(x["canonical_correlation"], 5)) for x in r.table("canonical_correlations").rows()], "component int, canonical_correlation double")
 
 
+# Cells are joined from the right while fewer than five are expected, so the last one starts at the greatest count whose tail is that large.
 @add("poisson_goodness_of_fit_chi_square", """
-WITH c AS (SELECT l_linenumber AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), r AS (SELECT sum(k * n) / sum(n) AS rate, sum(n) AS t FROM c)
-SELECT round(rate, 6) AS lambda FROM r""")
+WITH c AS (SELECT l_linenumber AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), r AS (SELECT sum(k * n) / sum(n) AS rate, sum(n) AS t, max(k) AS most FROM c),
+e AS (SELECT x.k, coalesce(n, 0) AS seen, t * exp(x.k * ln(rate) - rate - lgamma(x.k + 1)) AS wanted, t, rate FROM r, range(0, 1000) x(k) LEFT JOIN c USING (k) WHERE x.k <= greatest(most, ceil(rate + 6 * sqrt(rate)))),
+u AS (SELECT *, t - coalesce(sum(wanted) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tail, t - coalesce(sum(seen) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen_tail FROM e),
+l AS (SELECT max(k) AS last FROM u WHERE tail >= 5 OR k = 1)
+SELECT round(max(rate), 6) AS lambda, round(sum(CASE WHEN k < last THEN (seen - wanted) * (seen - wanted) / wanted ELSE (seen_tail - tail) * (seen_tail - tail) / tail END), 4) AS chi_square, (max(last) - 1)::BIGINT AS degrees FROM u, l WHERE k <= last""")
 def q_poisson(spark, d):
     df = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("k"))
-    return small(spark, [(rounded(op(df, "poisson_goodness_of_fit.chi_square", {"count_column": ["k"]}, metas(ints="k")).metric("lambda")),)], "lambda double")
-
-
-_RUNS = """WITH b AS ({b}), s AS (SELECT b, lag(b) OVER (ORDER BY ts) AS p FROM b WHERE b IS NOT NULL), c AS (SELECT 1 + sum((b <> p)::INT)::DOUBLE AS runs, sum(b)::DOUBLE AS n1, count(*) - sum(b)::DOUBLE AS n0 FROM s)
-SELECT runs::BIGINT AS runs, n0::BIGINT AS class_0_count, n1::BIGINT AS class_1_count, round((runs - (2 * n0 * n1 / (n0 + n1) + 1)) / sqrt(2 * n0 * n1 * (2 * n0 * n1 - n0 - n1) / (pow(n0 + n1, 2) * (n0 + n1 - 1))), 6) AS z_statistic FROM c"""
-
-
-def _runs(kind: str, sql: str, column: str = "value", **params: Any) -> None:
-    def query(spark, d):
-        df = table(spark, d, "events").withColumn("two", F.when(F.col("event_type") < "m", "a").otherwise("b"))
-        r = op(df, f"runs_test.{kind}", {"x_columns": [column], "order_column": ["ts"]}, EVENT | metas(c="two"), **params)
-        return small(spark, [(x["runs"], x["class_0_count"], x["class_1_count"], rounded(x["z_statistic"])) for x in r.tables[0].rows()], "runs long, class_0_count long, class_1_count long, z_statistic double")
-
-    add(f"runs_test_{kind}", _RUNS.format(b=sql))(query)
-
-
-_runs("median_cut", "SELECT ts, CASE WHEN value > m THEN 1 WHEN value < m THEN 0 END AS b FROM events, (SELECT quantile_cont(value, 0.5) AS m FROM events)")
-_runs("custom_cut", "SELECT ts, CASE WHEN value >= 10 THEN 1 ELSE 0 END AS b FROM events", cut_value=10, ties="upper")
-_runs("binary", "SELECT ts, (event_type >= 'm')::INT AS b FROM events", column="two")
-
-_COEF = "feature string, coefficient double"
+    r = op(df, "poisson_goodness_of_fit.chi_square", {"count_column": ["k"]}, metas(ints="k"))
+    return small(spark, [(rounded(r.metric("lambda")), rounded(r.metric("chi_square"), 4), int(r.metadata["degrees_of_freedom"]))], "lambda double, chi_square double, degrees long")
 
 
-@add("linear_regression_ols", """SELECT 'intercept' AS feature, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coefficient, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared FROM lineitem
-UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem""")
+@add("linear_regression_ols", """
+WITH m AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS b0, regr_slope(l_extendedprice, l_quantity) AS b1, regr_r2(l_extendedprice, l_quantity) AS r2, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_avgx(l_extendedprice, l_quantity) AS mx, count(*) AS n FROM lineitem),
+s AS (SELECT *, (1 - r2) * syy / (n - 2) AS v FROM m),
+f AS (SELECT 'intercept' AS feature, b0 AS b, sqrt(v * (1.0 / n + mx * mx / sxx)) AS se, r2 FROM s UNION ALL SELECT 'l_quantity', b1, sqrt(v / sxx), r2 FROM s)
+SELECT feature, round(b, 4) AS coefficient, round(se, 4) AS standard_error, round(b / se, 3) AS t_value, round(r2, 6) AS r_squared FROM f""")
 def q_ols(spark, d):
     r = op(table(spark, d, "lineitem").select("l_extendedprice", "l_quantity"), "linear_regression.ols", {"y_column": ["l_extendedprice"], "x_columns": ["l_quantity"]}, LINE_Q)
-    return small(spark, [(x["feature"], rounded(x["coefficient"], 4), rounded(r.metric("r_squared"))) for x in r.table("coefficients").rows()], _COEF + ", r_squared double")
+    rows = [(x["feature"], rounded(x["coefficient"], 4), rounded(x["standard_error"], 4), rounded(x["coefficient"] / x["standard_error"], 3), rounded(r.metric("r_squared"))) for x in r.table("coefficients").rows()]
+    return small(spark, rows, "feature string, coefficient double, standard_error double, t_value double, r_squared double")
 
 
 @add("ridge_regression_fixed_alpha", """
@@ -382,7 +380,18 @@ def q_hierarchical(spark, d):
     return small(spark, [(x["block"], rounded(x["r_squared"])) for x in r.table("hierarchical_models").rows()], "block int, r_squared double")
 
 
-@add("grey_forecast_gm11_basic")
+# The shift is the first of up to 100,000 steps that brings all level ratios within bounds.
+@add("grey_forecast_gm11_basic", """
+WITH y AS (SELECT year(o_orderdate)::VARCHAR AS t, count(*)::DOUBLE AS v FROM orders GROUP BY 1),
+o AS (SELECT row_number() OVER (ORDER BY t) AS i, v, lag(v) OVER (ORDER BY t) AS p FROM y),
+m AS (SELECT count(*) AS n, greatest(0, -min(v) + 1e-8) AS start, 0.1 * greatest(stddev_pop(v), 1.0) AS width, exp(-2.0 / (count(*) + 1)) AS lo, exp(2.0 / (count(*) + 1)) AS hi FROM o),
+plain AS (SELECT bool_and(v > 0 AND (p IS NULL OR (p / v > lo AND p / v < hi))) AS good FROM o, m),
+tried AS (SELECT k, bool_and(v + start + k * width > 0 AND (p IS NULL OR ((p + start + k * width) / (v + start + k * width) > lo AND (p + start + k * width) / (v + start + k * width) < hi))) AS good FROM range(0, 100000) r(k), o, m GROUP BY k),
+s AS (SELECT CASE WHEN good THEN 0 ELSE start + (SELECT min(k) FROM tried WHERE good) * width END AS shift FROM plain, m),
+x AS (SELECT i, v + shift AS x, sum(v + shift) OVER (ORDER BY i) AS c FROM o, s),
+z AS (SELECT x, -(c + lag(c) OVER (ORDER BY i)) / 2 AS z FROM x),
+g AS (SELECT regr_slope(x, z) AS a, regr_intercept(x, z) AS u FROM z WHERE z IS NOT NULL)
+SELECT step::INTEGER AS step, round(((SELECT x FROM x WHERE i = 1) - u / a) * (exp(-a * (n + step - 1)) - exp(-a * (n + step - 2))) - shift, 3) AS forecast FROM g, m, s, range(1, 3) r(step)""")
 def q_grey(spark, d):
     months = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("string").alias("year")).agg(F.count("*").cast("double").alias("n"))
     r = op(months, "grey_forecast_gm11.basic", {"y_column": ["n"], "time_column": ["year"]}, metas("n", "year"), forecast_steps=2)
