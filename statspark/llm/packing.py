@@ -37,6 +37,8 @@ WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 64
 END_ID = 2
+#: Bytes of text encoded at once; each slice with new words lays the whole word table anew, so slices are large.
+SLICE = 1 << 20
 #: Entries of the word table of one Python worker (about 40 bytes each).
 CACHE_WORDS = 300_000
 #: Texts of one Arrow batch.
@@ -170,7 +172,7 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text of a column."""
         data, offsets = text_bytes(texts)
         out: list[bytes] = []
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             piece = data[offsets[a] : offsets[b]]
             ids, at = self.encode(piece, offsets[a : b + 1] - offsets[a])
             raw = ids.astype("<u4", copy=False).tobytes()

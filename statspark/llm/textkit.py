@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once: the 64-bit arrays over them stay in the cache, and are too small to be mapped anew each time.
-SLICE_BYTES = 30_000
+SLICE_BYTES = 100_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
