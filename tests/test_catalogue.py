@@ -23,6 +23,12 @@ def test_the_catalogue_is_complete_and_well_declared():
     assert check_catalogue() == []
 
 
+def test_every_operator_has_a_query():
+    from statspark import queries
+
+    assert {k.replace(".", "_") for k in catalogue()} <= set(queries.QUERIES)
+
+
 @pytest.mark.parametrize("key", list(fixtures.CASES))
 def test_each_operator_runs(table, key):
     pdf, df = table
