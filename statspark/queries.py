@@ -54,6 +54,34 @@ def rounded(value: Any, digits: int = 6) -> float | None:
     return None if value is None else round(float(value), digits) + 0.0
 
 
+def drawn(source: str, seed: int) -> str:
+    """CTEs that number the rows of ``source`` in their order and add ``draw``, Spark's xxhash64(number, seed): what splits and folds go by."""
+    # The five primes of the 64-bit hash.
+    word, p1, p2, p3, p4, p5 = 2**64, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+    def big(n: int) -> str:
+        return f"'{n}'::UHUGEINT"
+
+    def times(a: str, b: int) -> str:
+        return f"(({a}) * {big(b)}) % {big(word)}"
+
+    def turned(a: str, n: int) -> str:
+        return f"(({a}) * {big(2**n)}) % {big(word)} + ({a}) // {big(2 ** (64 - n))}"
+
+    def folded(a: str, n: int) -> str:
+        return f"xor({a}, {a} // {big(2**n)})"
+
+    def mixed_in(value: str, start: str, size: int, turn: int, by: int, plus: int) -> list[str]:
+        return [f"xor(({start} + {big(p5 + size)}) % {big(word)}, {value})", turned("h", turn), f"({times('h', by)} + {big(plus)}) % {big(word)}", folded("h", 33), times("h", p2), folded("h", 29), times("h", p3), folded("h", 32)]
+
+    steps = [times("number::UHUGEINT", p2), turned("h", 31), times("h", p1), *mixed_in("h", big(42), 8, 27, p1, p4), *mixed_in(big(seed * p1 % word), "h", 4, 23, p2, p3)]
+    ctes = [f"d0 AS (SELECT *, row_number() OVER () - 1 AS number FROM ({source}))"]
+    for i, step in enumerate(steps):
+        ctes.append(f"d{i + 1} AS (SELECT * {'' if i == 0 else 'EXCLUDE (h)'}, {step} AS h FROM d{i})")
+    ctes.append(f"drawn AS (SELECT * EXCLUDE (h), CASE WHEN h >= {big(2**63)} THEN h::HUGEINT - {word} ELSE h::HUGEINT END AS draw FROM d{len(steps)})")
+    return ",\n".join(ctes)
+
+
 LINE_Q = metas("l_quantity l_extendedprice l_discount l_tax", "l_returnflag l_linestatus")
 
 
@@ -152,7 +180,15 @@ SELECT '{c}' AS field, n::BIGINT AS sample_count, round(z1 * z1 + z2 * z2, 4) AS
 add("normality_test_dagostino", _DAGOSTINO.format(t="(SELECT c_acctbal AS v FROM customer)", c="c_acctbal"))(_normality("normality_test.dagostino", "customer", "c_acctbal"))
 add("normality_test_auto", _DAGOSTINO.format(t="(SELECT value AS v FROM events)", c="value"))(_normality("normality_test.auto", "events", "value"))
 add("normality_test_shapiro")(_normality("normality_test.shapiro", "supplier", "s_acctbal"))
-add("normality_test_anderson")(_normality("normality_test.anderson", "customer", "c_acctbal"))
+# The normal distribution function by its power series, and p between the levels of the corrected critical values.
+add("normality_test_anderson", """
+WITH m AS (SELECT count(c_acctbal) AS n, avg(c_acctbal) AS mu, stddev_samp(c_acctbal) AS sd FROM customer),
+z AS (SELECT row_number() OVER (ORDER BY c_acctbal) AS i, n, (c_acctbal - mu) / sd AS z FROM customer, m WHERE c_acctbal IS NOT NULL),
+p AS (SELECT i, n, 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))) AS p FROM z),
+a AS (SELECT -n - sum((2 * i - 1) * ln(p) + (2 * (n - i) + 1) * ln(1 - p)) / n AS a, n FROM p GROUP BY n),
+c AS (SELECT n, a, round(c / (1 + 4.0 / n - 25.0 / n / n), 3) AS c, l FROM a, (VALUES (0.576::DOUBLE, 0.15::DOUBLE), (0.656, 0.1), (0.787, 0.05), (0.918, 0.025), (1.092, 0.01)) t(c, l)),
+b AS (SELECT *, lead(c) OVER (ORDER BY c) AS c2, lead(l) OVER (ORDER BY c) AS l2 FROM c)
+SELECT 'c_acctbal' AS field, n AS sample_count, round(a, 4) AS statistic, round(CASE WHEN a <= min(c) THEN 0.15 WHEN a >= max(c) THEN 0.01 ELSE max(CASE WHEN a >= c AND a < c2 THEN l + (l2 - l) * (a - c) / (c2 - c) END) END, 4) AS p_value FROM b GROUP BY n, a""")(_normality("normality_test.anderson", "customer", "c_acctbal"))
 
 
 @add("data_encoding_manual", """SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 END AS BIGINT) AS encoded_value FROM orders""")
@@ -386,10 +422,40 @@ def q_ridge(spark, d):
     return small(spark, [(x["feature"], rounded(x["coefficient"], 4)) for x in r.table("ridge_coefficients").rows()], _COEF)
 
 
-@add("ridge_regression_cross_validated")
+def _eliminated(prefix: str, width: int, kept: list[str]) -> str:
+    """CTEs that solve the equations a0_0 .. of ``{prefix}0``, one pivot each; ``{prefix}{width}`` holds the solution in column ``width``."""
+    cells = [(i, j) for i in range(width) for j in range(width + 1)]
+    ctes = []
+    for k in range(width):
+        terms = [f"a{i}_{j} / a{k}_{k} AS a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i, j in cells]
+        ctes.append(f"{prefix}{k + 1} AS (SELECT {', '.join(kept + terms)} FROM {prefix}{k})")
+    return ",\n".join(ctes)
+
+
+def _ridge_cv_sql(width: int, folds: int, alphas: str) -> str:
+    x = [f"x{i}" for i in range(width)]
+    names = [*x, "y"]
+    scale = ", ".join(f"avg({c}) AS c_{c}, stddev_pop({c}) AS s_{c}" for c in x)
+    scaled = ", ".join(f"({c} - c_{c}) / s_{c} AS {c}" for c in x)
+    gram = ", ".join(f"covar_pop({x[i]}, {names[j]}) * count(*) AS a{i}_{j}" for i in range(width) for j in range(width + 1))
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in names)
+    fit = " + ".join(f"a{i}_{width} * ({c} - m_{c})" for i, c in enumerate(x))
+    source = "SELECT l_extendedprice AS y, l_quantity AS x0, l_discount AS x1, (l_returnflag = 'N')::INT::DOUBLE AS x2, (l_returnflag = 'R')::INT::DOUBLE AS x3 FROM lineitem"
+    return f"""WITH {drawn(source, 42)},
+s AS (SELECT {scale} FROM drawn),
+z AS (SELECT ((draw % {folds}) + {folds}) % {folds} AS fold, {scaled}, y FROM drawn, s),
+g AS (SELECT f, {means}, {gram} FROM z JOIN range({folds}) t(f) ON fold <> f GROUP BY f),
+e0 AS (SELECT * REPLACE ({", ".join(f"a{i}_{i} + alpha AS a{i}_{i}" for i in range(width))}) FROM g, (VALUES {alphas}) t(alpha)),
+{_eliminated("e", width, ["f", "alpha", *(f"m_{c}" for c in names)])},
+r AS (SELECT alpha, f, avg(pow(y - m_y - ({fit}), 2)) AS mse FROM z JOIN e{width} ON fold = f GROUP BY alpha, f)
+SELECT alpha, round(avg(mse), 0) AS mean_mse FROM r GROUP BY alpha"""
+
+
+# Errors are near 9e8, so whole numbers are nine digits.
+@add("ridge_regression_cross_validated", _ridge_cv_sql(4, 5, "(0.01::DOUBLE), (0.1), (1), (10), (100)"))
 def q_ridge_cv(spark, d):
     r = op(table(spark, d, "lineitem"), "ridge_regression.cross_validated", {"y_column": ["l_extendedprice"], "x_columns": ["l_quantity", "l_discount", "l_returnflag"]}, LINE_Q)
-    return small(spark, [(float(x["alpha"]), rounded(x["mean_mse"], 2)) for x in r.table("cv_curve").rows()], "alpha double, mean_mse double")
+    return small(spark, [(float(x["alpha"]), rounded(x["mean_mse"], 0)) for x in r.table("cv_curve").rows()], "alpha double, mean_mse double")
 
 
 @add("hierarchical_regression_blockwise_ols", """
@@ -444,7 +510,18 @@ def q_kmeans(spark, d):
     return r.data.select("vec_id", "cluster_kmeans")
 
 
-@add("dbscan_clustering_standard")
+@add("dbscan_clustering_standard", """
+WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER () AS r, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+s AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM e),
+x AS (SELECT vec_id, r, a / sa AS a, b / sb AS b FROM e, s),
+near AS (SELECT p.r AS i, q.r AS j FROM x p, x q WHERE sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) <= 0.15),
+core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 5),
+links AS (SELECT n.i, n.j FROM near n JOIN core c ON n.i = c.i JOIN core d ON n.j = d.i),
+reached AS (SELECT i AS root, i AS j FROM core UNION SELECT w.root, l.j FROM reached w JOIN links l ON w.j = l.i),
+roots AS (SELECT j AS i, min(root) AS root FROM reached GROUP BY j),
+named AS (SELECT i, dense_rank() OVER (ORDER BY root) - 1 AS k FROM roots),
+border AS (SELECT n.i, min(k) AS k FROM near n JOIN named m ON n.j = m.i GROUP BY n.i)
+SELECT vec_id, coalesce(m.k, o.k, -1)::BIGINT AS cluster_dbscan FROM x LEFT JOIN named m ON m.i = x.r LEFT JOIN border o ON o.i = x.r""")
 def q_dbscan(spark, d):
     r = op(vectors(spark, d), "dbscan_clustering.standard", {"x_columns": ["e0", "e1"]}, _E, eps=0.15)
     return r.data.select("vec_id", "cluster_dbscan")
@@ -462,8 +539,55 @@ def _classifier(key: str, sql: str | None, slots: dict[str, list[str]], **params
     add(key.replace(".", "_"), sql)(query)
 
 
-_classifier("logistic_regression.binary_gradient_descent", None, {"y_column": ["two"], "x_columns": ["e0", "e1", "sign"]})
-_classifier("naive_bayes_classification.gaussian", None, {"y_column": ["class"], "x_columns": ["e0", "e1", "e2"]})
-_classifier("naive_bayes_classification.categorical", None, {"y_column": ["class"], "x_columns": ["sign"]})
-_classifier("naive_bayes_classification.mixed", None, {"y_column": ["class"], "x_columns": ["e0", "e2", "sign"]})
+_VECTORS = "SELECT embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, 'k' || (label % 3) AS class, CASE WHEN embedding[2]::DOUBLE > 0 THEN 'up' ELSE 'down' END AS sign FROM embeddings"
+
+
+def _bayes_sql(numbers: list[str], words: list[str], prior: str, variance: str, extra: str) -> str:
+    """Accuracy and weighted F1 over the rows held out of a stratified split of 0.8."""
+    stats = "".join(f", avg({c}) AS m_{c}, {variance}({c}) + ({extra}) AS v_{c}" for c in numbers)
+    score = "".join(f" - 0.5 * ln(2 * pi() * v_{c}) - pow({c} - m_{c}, 2) / (2 * v_{c})" for c in numbers)
+    score += "".join(f" + ln(((SELECT count(*) FROM train WHERE train.class = p.class AND train.{c} = q.{c}) + 1.0) / (p.n + (SELECT count(DISTINCT {c}) FROM ranked)))" for c in words)
+    return f"""WITH {drawn(_VECTORS, 42)},
+{_PARTS.format(y="class")},
+parts AS (SELECT class, count(*) AS n{stats} FROM train GROUP BY class),
+scored AS (SELECT q.number, q.class AS y, p.class AS c, ln({prior}){score} AS s FROM test q, parts p),
+best AS (SELECT y, c FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY s DESC, c) AS place FROM scored) WHERE place = 1),
+f AS (SELECT class, (SELECT count(*) FROM best WHERE y = class) AS support, (SELECT count(*) FROM best WHERE c = class) AS given, (SELECT count(*) FROM best WHERE y = class AND c = class) AS hit FROM parts)
+SELECT round(sum(hit) / sum(support), 6) AS accuracy, round(sum(support * 2.0::DOUBLE * hit / (support + given)) / sum(support), 6) AS f1 FROM f WHERE support + given > 0"""
+
+
+_PARTS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY {y} ORDER BY draw, number) AS rank, count(*) OVER (PARTITION BY {y}) AS size FROM drawn),
+train AS (SELECT * FROM ranked WHERE rank <= least(greatest(1, round_even(size * 0.8::DOUBLE, 0)), size - 1)),
+test AS (SELECT * FROM ranked WHERE rank > least(greatest(1, round_even(size * 0.8::DOUBLE, 0)), size - 1))"""
+
+
+def _logistic_sql(steps: int = 12) -> str:
+    """Newton's steps for the penalised log-loss with C = 1; the intercept is not penalised."""
+    x = ["1", "a", "b", "u"]
+    width = len(x)
+    line = " + ".join(f"w{i} * {c}" for i, c in enumerate(x))
+    scaled = "(e0 - ma) / sa AS a, (e1 - mb) / sb AS b, (sign = 'up')::INT::DOUBLE AS u, (class <> 'k0')::INT AS y"
+    hessian = ", ".join(f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {int(i == j and i > 0)} AS a{i}_{j}" for i in range(width) for j in range(width))
+    slope = ", ".join(f"sum((y - p) * {c}) - {'0' if i == 0 else f'any_value(w{i})'} AS a{i}_{width}" for i, c in enumerate(x))
+    ws = [f"w{i}" for i in range(width)]
+    ctes = ["n0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS {w}" for w in ws) + ")"]
+    for t in range(steps):
+        ctes.append(f"s{t}_0 AS (SELECT {', '.join(f'any_value({w}) AS {w}' for w in ws)}, {hessian}, {slope} FROM (SELECT *, 1 / (1 + exp(-({line}))) AS p FROM z, n{t}))")
+        ctes.append(_eliminated(f"s{t}_", width, ws))
+        ctes.append(f"n{t + 1} AS MATERIALIZED (SELECT {', '.join(f'{w} + a{i}_{width} AS {w}' for i, w in enumerate(ws))} FROM s{t}_{width})")
+    return f"""WITH {drawn(_VECTORS, 42)},
+{_PARTS.format(y="(class = 'k0')")},
+m AS (SELECT avg(e0) AS ma, stddev_pop(e0) AS sa, avg(e1) AS mb, stddev_pop(e1) AS sb FROM train),
+z AS MATERIALIZED (SELECT {scaled} FROM train, m),
+{", ".join(ctes)},
+g AS (SELECT y, ({line} > 0)::INT AS c FROM (SELECT {scaled} FROM test, m), n{steps})
+SELECT round(avg((y = c)::INT), 6) AS accuracy, round(2.0::DOUBLE * sum(y * c) / (sum(y) + sum(c)), 6) AS f1 FROM g"""
+
+
+_SHARE, _SMOOTH = "p.n / (SELECT count(*) FROM train)", "(p.n + 1.0::DOUBLE) / ((SELECT count(*) FROM train) + (SELECT count(*) FROM parts))"
+_LARGEST = "SELECT 1e-9 * greatest(var_pop(e0), var_pop(e1), var_pop(e2)) FROM train"
+_classifier("logistic_regression.binary_gradient_descent", _logistic_sql(), {"y_column": ["two"], "x_columns": ["e0", "e1", "sign"]})
+_classifier("naive_bayes_classification.gaussian", _bayes_sql(["e0", "e1", "e2"], [], _SHARE, "var_pop", _LARGEST), {"y_column": ["class"], "x_columns": ["e0", "e1", "e2"]})
+_classifier("naive_bayes_classification.categorical", _bayes_sql([], ["sign"], _SHARE, "", ""), {"y_column": ["class"], "x_columns": ["sign"]})
+_classifier("naive_bayes_classification.mixed", _bayes_sql(["e0", "e2"], ["sign"], _SMOOTH, "var_samp", "1e-9"), {"y_column": ["class"], "x_columns": ["e0", "e2", "sign"]})
 _classifier("lightgbm_classification.standard", None, {"y_column": ["two"], "x_columns": ["e0", "e1", "e2"]}, n_estimators=10, num_leaves=8)
