@@ -28,11 +28,11 @@ has too; for documents without one, the runs of at least ``words`` words covered
 by ``passage``-byte strings that another document has too. For these the steps
 run again with the shorter length, over the anchors whose gram stands in such a document.
 
-Grams shared by more than ``block`` unlike segments are not compared in one task:
-each window of such a segment is hashed, and Spark counts the hashes (salted by
-distance, pre-aggregated), in work linear in the segments.
+A gram with more than ``block`` unlike segments is not compared in one task, but
+split to cells by more of the bytes around it (see ``_ranges``), which are then
+compared column-wise in the same way, in work linear in the segments.
 
-Segments are told equal by a 64-bit hash of their bytes within a 64-bit hash of
+Segments are told equal by a 128-bit hash of their bytes within a 64-bit hash of
 their gram; windows in a column comparison are compared symbol by symbol, grams byte by byte.
 
 Defined cases: null is the empty text; texts under ``length`` bytes keep all;
@@ -45,6 +45,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,8 @@ from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices,
 LENGTH, GRAM = 400, 128
 #: Bytes and words that a shared passage has at least; its grams.
 PASSAGE, WORDS, PASSAGE_GRAM = 240, 50, 64
-BLOCK = 16_000
+#: Segments up to which a cell is compared in one task.
+BLOCK = 4_000
 #: Grams (16 bytes each) and list entries (40 bytes each) up to which a table is sent to every executor.
 GRAMS, CELLS = 2_000_000, 1_500_000
 ABSENT = 256
@@ -101,15 +103,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = LENGTH, gram: i
     return at, hashes[at]
 
 
-def segment_hashes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, of: np.ndarray, length: int, gram: int) -> np.ndarray:
+def segment_hashes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, of: np.ndarray, length: int, gram: int) -> list[bytes]:
     """Hashes of the bytes around each anchor (clipped at the text's ends) and of the anchor's place among them."""
     low, high = np.maximum(at - (length - gram), offsets[of]), np.minimum(at + length, offsets[of + 1])
     raw = memoryview(np.ascontiguousarray(data))
-    made = (xxhash.xxh3_64_intdigest(raw[a:b], c) for a, b, c in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True))
-    return np.fromiter(made, U64, len(at))
+    return [xxhash.xxh3_128_digest(raw[a:b], c) for a, b, c in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)]
 
 
-ANCHOR_SCHEMA = "uid long, pos int, gram long, segment long"
+ANCHOR_SCHEMA = "uid long, pos int, gram long, segment binary"
 
 
 def _parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -160,13 +161,13 @@ def _find_anchors(length: int, gram: int):
                 for data, local, at, grams, of, a, starts in _anchored(batch.column("text"), length, gram):
                     segments = segment_hashes(data, local, at, of, length, gram)
                     place = at - starts[of]
-                    yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(a + of)), pa.array(place.astype(np.int32)), pa.array(signed(grams)), pa.array(signed(segments))], ["uid", "pos", "gram", "segment"])
+                    yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(a + of)), pa.array(place.astype(np.int32)), pa.array(signed(grams)), pa.array(segments, pa.binary())], ["uid", "pos", "gram", "segment"])
 
     return run
 
 
 #: ``single``: the segment occurs once; ``doc``: the document that alone holds it, null where there are several.
-SEGMENT_SCHEMA = "gram long, segment long, single boolean, doc long, at int, bytes binary"
+SEGMENT_SCHEMA = "gram long, segment binary, single boolean, doc long, at int, bytes binary"
 _SEGMENT_FIELDS = ["gram", "segment", "single", "doc", "at", "bytes"]
 
 
@@ -193,7 +194,7 @@ def _cut_segments(length: int, gram: int):
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _SEGMENT_FIELDS)
 
 
@@ -282,39 +283,72 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 #: Distances low to high of a segment; what: 0 for repeated windows, 1 for shared ones, 2 for both.
-RANGE_SCHEMA = "gram long, segment long, low int, high int, what int"
+RANGE_SCHEMA = "gram long, segment binary, low int, high int, what int"
 
 
 def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "segment", "low", "high", "what"])
 
 
-def _compare(length: int, gram: int, block: int):
-    """Column-wise comparison of segments sorted by gram, in blocks of whole groups."""
-    reach = length - gram
+#: A cell: segments of one gram that share all bytes which the windows at distances ``low`` to ``high`` have in common.
+CELL_SCHEMA = SEGMENT_SCHEMA + ", low int, high int, cell long"
+_CELL = ["low", "high", "cell"]
+_CELL_FIELDS = [*_SEGMENT_FIELDS, *_CELL]
+
+
+def _cell_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _CELL_FIELDS)
+
+
+def _halve(length: int):
+    """The two cells of each segment of a crowded cell: the nearer and the farther half of its distances."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for g, s, single, doc, at, raw, low, high, _ in zip(*(batch.column(n).to_pylist() for n in _CELL_FIELDS), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if at >= a and at - b + length <= len(raw):
+                        start = max(0, at - b)
+                        cell = xxhash.xxh3_64_intdigest(raw[at - a : at - b + length], a)
+                        rows.append((g, s, single, doc, at - start, raw[start : at - a + length], a, b, cell - (cell >> 63 << 64)))
+            if rows:
+                yield _cell_batch(rows)
+
+    return run
+
+
+def _compare(length: int, block: int):
+    """Column-wise comparison of segments sorted by cell, in blocks of whole cells of the same distances."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        cores = [(r[0], r[5][r[4] : r[4] + gram]) for r in rows]
+        low, high = rows[0][6:8]
+        reach = high - low
+        core = length - reach
+        cores = [r[5][r[4] - low : r[4] - low + core] for r in rows]
         number = {c: i for i, c in enumerate(sorted(set(cores)))}
         groups = np.array([number[c] for c in cores], np.int64)
         by = np.argsort(groups, kind="stable")
         rows, groups = [rows[i] for i in by.tolist()], groups[by]
         docs = np.unique(np.array([r[3] if r[3] is not None else 0 for r in rows], np.int64), return_inverse=True)[1].astype(np.int64)
         docs[np.array([r[3] is None for r in rows], bool)] = -1
-        flags = repeated_distances(groups, docs, _symbols([r[5][: r[4]] for r in rows], reach, True), _symbols([r[5][r[4] + gram :] for r in rows], reach, False), gram, length)
+        left, right = [r[5][: r[4] - low] for r in rows], [r[5][r[4] - low + core :] for r in rows]
+        flags = repeated_distances(groups, docs, _symbols(left, reach, True), _symbols(right, reach, False), core, length)
         out = []
         for what, (found, wanted) in enumerate(zip(flags, ([r[2] for r in rows], [r[3] is not None for r in rows]), strict=True)):
             some = found.any(axis=0)
-            out += [(r[0], r[1], low, high, what) for i, r in enumerate(rows) if some[i] and wanted[i] for low, high in _spans(found[:, i])]
+            out += [(r[0], r[1], low + a, low + b, what) for i, r in enumerate(rows) if some[i] and wanted[i] for a, b in _spans(found[:, i])]
         return _range_batch(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in _SEGMENT_FIELDS), strict=True):
-                if len(held) >= block and row[0] != held[-1][0]:
+            for row in zip(*(batch.column(n).to_pylist() for n in _CELL_FIELDS), strict=True):
+                if held and (row[6:8] != held[-1][6:8] or len(held) >= block and row[8] != held[-1][8]):
                     yield solve(held)
                     held = []
                 held.append(row)
@@ -324,42 +358,35 @@ def _compare(length: int, gram: int, block: int):
     return run
 
 
-HOT_SCHEMA = "gram long, segment long, single boolean, doc long, distance int, window long"
-
+def _equal_windows(cells: DataFrame) -> DataFrame:
+    """Ranges of crowded cells of one distance: their members share a whole window, so counts tell all."""
+    windows = cells.select("gram", "segment", "single", "doc", F.col("low").alias("distance"), F.sha2("bytes", 256).alias("window"))
+    counted = windows.groupBy("gram", "distance", "window").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("doc").alias("known")).where("n > 1")
+    counted = settled(counted.select("gram", "distance", "window", ((F.col("known") < F.col("n")) | (F.col("a") != F.col("b"))).alias("across")))
+    again = windows.join(sized(counted), ["gram", "distance", "window"])
+    what = F.array(F.when(F.col("single"), 0), F.when(F.col("across") & F.col("doc").isNotNull(), 1))
+    return again.select("gram", "segment", F.col("distance").alias("low"), F.col("distance").alias("high"), F.explode(what).alias("what")).where("what is not null")
 
-def _hash_windows(length: int, gram: int):
-    """A hash for each window of a segment of a hot gram."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for g, s, single, doc, at, raw in zip(*(batch.column(n).to_pylist() for n in _SEGMENT_FIELDS), strict=True):
-                view = memoryview(raw)
-                distances = range(max(0, at + length - len(raw)), min(at, length - gram) + 1)
-                hashes = [xxhash.xxh3_64_intdigest(view[at - d : at - d + length]) for d in distances]
-                for column, values in zip(out, ([g] * len(hashes), [s] * len(hashes), [single] * len(hashes), [doc] * len(hashes), distances, hashes), strict=True):
-                    column.extend(values)
-                if len(out[0]) > 100_000:
-                    yield _hot_batch(out)
-                    out = [[] for _ in range(6)]
-            if out[0]:
-                yield _hot_batch(out)
+def _ranges(scratch: Scratch, segments: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """Column-wise comparison of all segments of each gram.
 
-    return run
-
-
-def _hot_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()]
-    columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=False)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(out[5], U64).view(np.int64))], ["gram", "segment", "single", "doc", "distance", "window"])
-
-
-def _joined_distances() -> Column:
-    """Runs of consecutive distances of a set, as (low, high)."""
-    points = F.transform(F.array_sort("d"), lambda x: F.struct(x.alias("s"), (x + 1).alias("e")))
-    # merged_runs starts from 0, so everything is moved up by one
-    moved = F.transform(points, lambda r: F.struct((r["s"] + 1).alias("s"), (r["e"] + 1).alias("e")))
-    return F.transform(merged_runs(moved), lambda r: F.struct((r["s"] - 1).alias("low"), (r["e"] - 2).alias("high")))
+    Cells of more than ``block`` segments are halved by distance: windows at the far
+    half share more bytes before the gram, those at the near half more after it, so
+    either half falls apart by these bytes. That ends after as many rounds as the distances can be halved.
+    """
+    cells = segments.select("*", F.lit(0).alias("low"), F.lit(length - gram).alias("high"), F.col("gram").alias("cell"))
+    found = []
+    while True:
+        crowded = settled(cells.groupBy(*_CELL).count().where(F.col("count") > block).select(*_CELL))
+        last = crowded.isEmpty()
+        usual = cells if last else cells.join(sized(crowded), _CELL, "left_anti")
+        found.append(usual.select(*_CELL_FIELDS).repartition(*_CELL).sortWithinPartitions(*_CELL, "segment").mapInArrow(frugal(_compare(length, block)), RANGE_SCHEMA))
+        if last:
+            return reduce(DataFrame.unionByName, found)
+        rest = cells.join(sized(crowded), _CELL, "left_semi").select(*_CELL_FIELDS)
+        found.append(_equal_windows(rest.where("low = high")))
+        cells = scratch.table(rest.where("low < high").mapInArrow(frugal(_halve(length)), CELL_SCHEMA))
 
 
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
@@ -406,17 +433,7 @@ def _covers(scratch: Scratch, source: DataFrame, several: DataFrame, length: int
     mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
     wanted = scratch.table(mixed.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "segment", "single", "doc")).alias("wanted")))
     segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram)), SEGMENT_SCHEMA))
-    hot = settled(segments.groupBy("gram").count().where(F.col("count") > block).select("gram"))
-    some_hot = not hot.isEmpty()
-    usual = segments.join(sized(hot), "gram", "left_anti") if some_hot else segments
-    ranges = usual.repartition("gram").sortWithinPartitions("gram", "segment").mapInArrow(frugal(_compare(length, gram, block)), RANGE_SCHEMA)
-    if some_hot:
-        windows = segments.join(sized(hot), "gram", "left_semi").mapInArrow(frugal(_hash_windows(length, gram)), HOT_SCHEMA)
-        counted = windows.groupBy("gram", "distance", "window").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("doc").alias("known")).where("n > 1")
-        counted = counted.select("gram", "distance", "window", ((F.col("known") < F.col("n")) | (F.col("a") != F.col("b"))).alias("across"))
-        again = windows.where(F.col("single") | F.col("doc").isNotNull()).join(counted, ["gram", "distance", "window"])
-        again = again.select("gram", "segment", "distance", F.explode(F.array(F.when(F.col("single"), 0), F.when(F.col("across") & F.col("doc").isNotNull(), 1))).alias("what")).where("what is not null")
-        ranges = ranges.unionByName(again.groupBy("gram", "segment", "what").agg(F.collect_set("distance").alias("d")).select("gram", "segment", F.inline(_joined_distances()), "what"))
+    ranges = _ranges(scratch, segments, length, gram, block)
     # Every occurrence of a segment that occurs twice is covered whole; one of several documents is shared whole.
     whole = kinds.where(~F.col("single")).select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"), F.when(F.col("doc").isNull(), 2).otherwise(0).alias("what"))
     ranges = scratch.table(whole.unionByName(ranges))

@@ -78,6 +78,20 @@ def test_repeated_bytes_match_brute_force(spark, gram, block, passage):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
 
 
+def test_a_crowded_window_among_unlike_segments(spark):
+    """Cells that stay crowded down to a single distance."""
+    rng = random.Random(11)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    common = noise(60)
+    texts = [noise(rng.randint(0, 50)) + common + noise(rng.randint(0, 50)) for _ in range(14)] + [common[:59], common]
+    got = suffixdedup.remove_repeats(spark, frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), length=60, gram=30, passage=45, passage_gram=15, words=8, block=2).collect()
+    expected, shared = repeats(texts, 60), shared_passages(texts, 60, 45, 8)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: (*expected[i], *shared[i]) for i in range(len(texts))}
+
+
 def test_awkward_rows_of_repeated_bytes(spark):
     got = suffixdedup.remove_repeats(spark, frame(spark, extra=True), length=40, gram=20, passage=30, passage_gram=15).collect()
     assert len(got) == len(AWKWARD)
