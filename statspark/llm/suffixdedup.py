@@ -368,6 +368,14 @@ def _equal_windows(cells: DataFrame) -> DataFrame:
     return again.select("gram", "segment", F.col("distance").alias("low"), F.col("distance").alias("high"), F.explode(what).alias("what")).where("what is not null")
 
 
+def _joined_ranges(ranges: DataFrame) -> DataFrame:
+    """The ranges of each segment, those that touch across cells as one."""
+    # merged_runs starts from 0 and takes ends that are not included, so starts move up by one and ends by two
+    run = F.struct((F.col("low") + 1).alias("s"), (F.col("high") + 2).alias("e"))
+    runs = ranges.groupBy("gram", "segment", "what").agg(merged_runs(F.array_sort(F.collect_list(run))).alias("runs"))
+    return runs.select("gram", "segment", F.inline(F.transform("runs", lambda r: F.struct((r["s"] - 1).alias("low"), (r["e"] - 2).alias("high")))), "what")
+
+
 def _ranges(scratch: Scratch, segments: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """Column-wise comparison of all segments of each gram.
 
@@ -383,7 +391,7 @@ def _ranges(scratch: Scratch, segments: DataFrame, length: int, gram: int, block
         usual = cells if last else cells.join(sized(crowded), _CELL, "left_anti")
         found.append(usual.select(*_CELL_FIELDS).repartition(*_CELL).sortWithinPartitions(*_CELL, "segment").mapInArrow(frugal(_compare(length, block)), RANGE_SCHEMA))
         if last:
-            return reduce(DataFrame.unionByName, found)
+            return found[0] if len(found) == 1 else found[0].unionByName(_joined_ranges(reduce(DataFrame.unionByName, found[1:])))
         rest = cells.join(sized(crowded), _CELL, "left_semi").select(*_CELL_FIELDS)
         found.append(_equal_windows(rest.where("low = high")))
         cells = scratch.table(rest.where("low < high").mapInArrow(frugal(_halve(length)), CELL_SCHEMA))
