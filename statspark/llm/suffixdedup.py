@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, frugal, merged_runs, pieces, settled, sized
-from .textkit import U64, byte_values, mix, powers, prefix_hash, signed, slices, text_bytes
+from .textkit import U64, byte_values, powers, signed, slices, text_bytes
 
 LENGTH, GRAM = 400, 128
 #: Bytes and words that a shared passage has at least; its grams.
@@ -64,30 +64,67 @@ BLOCK = 4_000
 #: Grams (16 bytes each) and list entries (40 bytes each) up to which a table is sent to every executor.
 GRAMS, CELLS = 2_000_000, 1_500_000
 ABSENT = 256
+#: Hashes of a span that are looked at for its least one, on average.
+LOW = 8
+#: Bytes of freed memory a Python worker keeps for the next arrays.
+HELD = 8 << 20
 _BYTES = byte_values(97)
 _TOP = U64(0xFFFFFFFFFF000000)
 _PLACE_LIMIT = 1 << 24
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    sums = prefix_hash(_BYTES[data])
-    _, down = powers(len(sums))
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams, in few arrays, as their making takes most of a scan."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    body = sums[1:]
+    np.take(_BYTES, data, out=body, mode="clip")
+    body *= up[: len(data)]
+    np.cumsum(body, out=body)
     count = max(0, len(data) - gram + 1)
-    return sums, mix((sums[gram:] - sums[:count]) * down[:count])
+    hashes = sums[gram:] - sums[:count]
+    hashes *= down[:count]
+    hashes ^= hashes >> U64(32)
+    hashes *= U64(0x94D049BB133111EB)
+    hashes ^= hashes >> U64(29)
+    return hashes
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor positions and hashes of their grams."""
-    none = np.zeros(0, np.int64), np.zeros(0, U64)
-    if len(data) < window:
-        return none
-    _, hashes = _gram_hashes(data, gram)
-    count, span = len(hashes), window - gram + 1
+def _low_places(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Places of the hashes under a bound, and all places of a stretch of ``span`` or more without one: they hold the least of every span."""
+    bound = U64(min(LOW * ((1 << 64) // span), (1 << 64) - 1)) & _TOP
+    place = np.flatnonzero(hashes < bound)
+    edges = np.concatenate([[-1], place, [len(hashes)]])
+    far = np.flatnonzero(np.diff(edges) > span)
+    if not len(far):
+        return place
+    return np.sort(np.concatenate([place, *(np.arange(edges[i] + 1, edges[i + 1]) for i in far.tolist())]))
+
+
+def _least_of_places(hashes: np.ndarray, place: np.ndarray, offsets: np.ndarray, window: int, span: int) -> np.ndarray:
+    """Keys that are the least of a span, from the low places alone.
+
+    Spans that begin behind a place, end at one or begin a text hold all sets of places there are.
+    """
+    n, key = len(place), (hashes[place] & _TOP) | place.astype(U64)
+    last = offsets[1:] - window
+    firsts = offsets[:-1][last >= offsets[:-1]]
+    begin = np.concatenate([place + 1, place - span + 1, firsts])
+    low = np.concatenate([np.arange(1, n + 1), np.searchsorted(place, place - span + 1), np.searchsorted(place, firsts)])
+    high = np.concatenate([np.searchsorted(place, place + span + 1), np.arange(1, n + 1), np.searchsorted(place, firsts + span)]) - 1
+    inside = (begin >= 0) & (begin <= np.append(last, -1)[np.searchsorted(offsets, begin, side="right") - 1])
+    low, high = low[inside], high[inside]
+    return _least_between(key, low, high, n)
+
+
+def _least_of_all(hashes: np.ndarray, offsets: np.ndarray, window: int, span: int) -> np.ndarray:
+    """Keys that are the least of a span, from every place."""
+    count = len(hashes)
     key = (hashes & _TOP) | np.arange(count, dtype=U64)
     table = np.concatenate([key, np.full(-count % span, ~U64(0))]).reshape(-1, span)
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = len(data) - window + 1
+    windows = count - span + 1
     least = np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows])
     inside = np.zeros(windows + 1, np.int64)
     first, last = offsets[:-1], offsets[1:] - window + 1
@@ -95,11 +132,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = LENGTH, gram: i
     np.add.at(inside, first[holds], 1)
     np.add.at(inside, last[holds], -1)
     least = least[np.cumsum(inside[:-1]) > 0]
-    if not len(least):
-        return none
     change = np.ones(len(least), bool)
     change[1:] = least[1:] != least[:-1]
-    at = np.unique((least[change] & U64(_PLACE_LIMIT - 1)).astype(np.int64))
+    return least[change]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor positions and hashes of their grams."""
+    if not (np.diff(offsets) >= window).any():
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    hashes, span = _gram_hashes(data, gram), window - gram + 1
+    place = _low_places(hashes, span)
+    few = 4 * len(place) <= len(hashes)
+    least = _least_of_places(hashes, place, offsets, window, span) if few else _least_of_all(hashes, offsets, window, span)
+    at = np.unique((least & U64(_PLACE_LIMIT - 1)).astype(np.int64))
     return at, hashes[at]
 
 
@@ -214,7 +260,6 @@ def _symbols(parts: list[bytes], reach: int, right_aligned: bool) -> np.ndarray:
 def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray, longest: int) -> np.ndarray:
     """Least of common[low..high] for each pair, by a table of powers of two."""
     size = high - low + 1
-    level = np.zeros(len(size), np.int64)
     longest = min(longest, int(size.max(initial=1)))
     out = common[low].copy()
     table, step = common, 1
@@ -224,7 +269,6 @@ def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray, longes
         table, step = nxt, step * 2
         here = (size >= step) & (size < step * 2)
         out[here] = np.minimum(table[low[here]], table[high[here] - step + 1])
-        level[here] = step
     return out
 
 
@@ -389,12 +433,12 @@ def _ranges(scratch: Scratch, segments: DataFrame, length: int, gram: int, block
         crowded = settled(cells.groupBy(*_CELL).count().where(F.col("count") > block).select(*_CELL))
         last = crowded.isEmpty()
         usual = cells if last else cells.join(sized(crowded), _CELL, "left_anti")
-        found.append(usual.select(*_CELL_FIELDS).repartition(*_CELL).sortWithinPartitions(*_CELL, "segment").mapInArrow(frugal(_compare(length, block)), RANGE_SCHEMA))
+        found.append(usual.select(*_CELL_FIELDS).repartition(*_CELL).sortWithinPartitions(*_CELL, "segment").mapInArrow(frugal(_compare(length, block), HELD), RANGE_SCHEMA))
         if last:
             return found[0] if len(found) == 1 else found[0].unionByName(_joined_ranges(reduce(DataFrame.unionByName, found[1:])))
         rest = cells.join(sized(crowded), _CELL, "left_semi").select(*_CELL_FIELDS)
         found.append(_equal_windows(rest.where("low = high")))
-        cells = scratch.table(rest.where("low < high").mapInArrow(frugal(_halve(length)), CELL_SCHEMA))
+        cells = scratch.table(rest.where("low < high").mapInArrow(frugal(_halve(length), HELD), CELL_SCHEMA))
 
 
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
@@ -430,17 +474,21 @@ def _remove(words: int):
     return run
 
 
-def _covers(scratch: Scratch, source: DataFrame, several: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+def _anchors_of(scratch: Scratch, source: DataFrame, several: DataFrame, length: int, gram: int) -> DataFrame:
+    """The anchors whose gram is a given one."""
+    found = source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, gram), HELD), ANCHOR_SCHEMA)
+    return scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi").select("uid", "pos", "gram", "segment"))
+
+
+def _covers(scratch: Scratch, source: DataFrame, repeated: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """Per document with repeats: runs covered by repeated strings (``cover``) and by those another document has (``shared``)."""
     reach = length - gram
-    found = source.select("uid", "text").mapInArrow(frugal(_find_anchors(length, gram)), ANCHOR_SCHEMA)
-    repeated = scratch.table(found.join(sized(several, GRAMS), "gram", "left_semi").select("uid", "pos", "gram", "segment"))
     kinds = repeated.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at"), F.max("uid").alias("last"))
     kinds = scratch.table(kinds.select("gram", "segment", (F.col("n") == 1).alias("single"), "at.pos", "at.uid", F.when(F.col("at.uid") == F.col("last"), F.col("last")).alias("doc")))
     unlike = scratch.table(kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
     mixed = kinds.join(sized(unlike, GRAMS), "gram", "left_semi")
     wanted = scratch.table(mixed.groupBy("uid").agg(F.collect_list(F.struct("pos", "gram", "segment", "single", "doc")).alias("wanted")))
-    segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram)), SEGMENT_SCHEMA))
+    segments = scratch.table(source.select("uid", "text").join(sized(wanted, CELLS, F.size("wanted")), "uid").select("text", "wanted").mapInArrow(frugal(_cut_segments(length, gram), HELD), SEGMENT_SCHEMA))
     ranges = _ranges(scratch, segments, length, gram, block)
     # Every occurrence of a segment that occurs twice is covered whole; one of several documents is shared whole.
     whole = kinds.where(~F.col("single")).select("gram", "segment", F.lit(0).alias("low"), F.lit(reach).alias("high"), F.when(F.col("doc").isNull(), 2).otherwise(0).alias("what"))
@@ -467,14 +515,15 @@ def remove_repeats(
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select(uid.alias("uid"), "doc_id", "text")
     forms, grams_schema = ((length, gram, False), (passage, passage_gram, True)), "form int, gram long"
     with Scratch(spark) as scratch, arrow_batches(spark, 1000):
-        grams = source.select("text").mapInArrow(frugal(_find_grams(forms)), grams_schema)
+        grams = source.select("text").mapInArrow(frugal(_find_grams(forms), HELD), grams_schema)
         several = scratch.table(grams.groupBy("form", "gram").agg(F.count("*").alias("n")).where("n > 1").select("form", "gram"))
-        cover = _covers(scratch, source, several.where("form = 0").select("gram"), length, gram, block)
+        cover = _covers(scratch, source, _anchors_of(scratch, source, several.where("form = 0").select("gram"), length, gram), length, gram, block)
         known = sized(cover.where(F.size("shared") > 0).select("uid"))
-        rest = source.join(known, "uid", "left_anti").select("text").mapInArrow(frugal(_find_grams(forms[1:])), grams_schema)
-        candidates = scratch.table(rest.select("gram").join(sized(several.where("form = 1").select("gram"), GRAMS), "gram", "left_semi").distinct())
-        short = _covers(scratch, source, candidates, passage, passage_gram, block).where(F.size("shared") > 0).select("uid", F.col("shared").alias("short"))
+        near = _anchors_of(scratch, source, several.where("form = 1").select("gram"), passage, passage_gram)
+        candidates = scratch.table(near.join(known, "uid", "left_anti").select("gram").distinct())
+        near = scratch.table(near.join(sized(candidates, GRAMS), "gram", "left_semi"))
+        short = _covers(scratch, source, near, passage, passage_gram, block).where(F.size("shared") > 0).select("uid", F.col("shared").alias("short"))
         cover = scratch.table(cover.join(short, "uid", "full"))
         joined = source.join(sized(cover, CELLS, sum(F.coalesce(F.size(c), F.lit(0)) for c in ("cover", "shared", "short"))), "uid", "left").select("doc_id", "text", "cover", "shared", "short")
-        result = joined.mapInArrow(frugal(_remove(words)), RESULT_SCHEMA + ", kept binary")
+        result = joined.mapInArrow(frugal(_remove(words), HELD), RESULT_SCHEMA + ", kept binary")
         return settled(result if keep_text else result.drop("kept"))

@@ -107,6 +107,45 @@ def test_repeated_bytes_of_a_whole_table(spark):
     assert got == expected
 
 
+def plain_anchors(data, offsets, window, gram):
+    """The leftmost least gram hash of each window, window by window."""
+    hashes = suffixdedup._gram_hashes(data, gram)
+    at = set()
+    for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for i in range(first, last - window + 1):
+            at.add(i + int(np.argmin(hashes[i : i + window - gram + 1] & suffixdedup._TOP)))
+    return sorted(at)
+
+
+@pytest.mark.parametrize(("window", "gram"), [(400, 128), (240, 64), (60, 30), (20, 20)])
+def test_anchors_from_few_hashes_match_every_window(window, gram):
+    rng = np.random.default_rng(window)
+    for letters in (1, 2, 200):
+        sizes = [0, window - 1, window, 0, 3000, 5, 1500, window + 1, 0]
+        data = rng.integers(0, letters, sum(sizes)).astype(np.uint8)
+        data[3000:3000 + 2 * window] = 7  # a stretch of equal hashes
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        at, grams = suffixdedup.anchors(data, offsets, window, gram)
+        hashes = suffixdedup._gram_hashes(data, gram)
+        assert at.tolist() == plain_anchors(data, offsets, window, gram) and (grams == hashes[at]).all()
+    hashes = rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2)
+    assert len(suffixdedup._low_places(hashes, 273)) < 5000  # of 100,000; every one was compared before
+    none = suffixdedup.anchors(np.zeros(0, np.uint8), np.zeros(1, np.int64), window, gram)
+    assert len(none[0]) == len(none[1]) == 0
+
+
+def test_each_text_is_scanned_once_for_grams_and_once_a_form_for_anchors(spark, monkeypatch):
+    scans = []
+    for name in ("_find_grams", "_find_anchors"):
+        def counted(*args, name=name, make=getattr(suffixdedup, name)):
+            scans.append(name)
+            return make(*args)
+
+        monkeypatch.setattr(suffixdedup, name, counted)
+    suffixdedup.remove_repeats(spark, frame(spark), length=40, gram=20, passage=30, passage_gram=15).count()
+    assert sorted(scans) == ["_find_anchors", "_find_anchors", "_find_grams"]
+
+
 def test_column_construction_alone():
     groups = np.array([0, 0, 0, 1, 1])
     docs = np.array([3, 4, -1, 7, 7])
