@@ -20,6 +20,7 @@ a null id is kept; an empty table gives no piece; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,10 +38,10 @@ WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 64
 END_ID = 2
-#: Bytes of text encoded at once; each slice with new words lays the whole word table anew, so slices are large.
-SLICE = 1 << 20
-#: Entries of the word table of one Python worker (about 40 bytes each).
-CACHE_WORDS = 300_000
+#: Bytes of freed memory a Python worker keeps for the next arrays.
+HELD = 8 << 20
+#: Entries of the word table of one Python worker (about 75 bytes each).
+CACHE_WORDS = 500_000
 #: Texts of one Arrow batch.
 TEXT_ROWS = 1000
 
@@ -61,7 +62,8 @@ _BYTES = byte_values(59)
 
 @lru_cache(maxsize=1)
 def _loaded(path: str):
-    """The tokenizer, read once by each Python worker."""
+    """The tokenizer, read once by each Python worker; its threads would only wait for each other, as every core has a worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -76,7 +78,8 @@ class WordTokenizer:
     mark. ASCII letters are lower-cased by the tokenizer itself, so words that differ in
     their case only share an entry. Words are found in a slice, hashed (64 bits,
     length included) and looked up as arrays; only unseen ones are encoded,
-    plain ones many in a call, as each ends in a token that closes a word. Texts
+    plain ones many in a call, as each ends in a token that closes a word. The
+    table is open, half full at most, and takes unseen words without moving others. Texts
     with the opening of a special token are encoded whole.
     """
 
@@ -89,8 +92,48 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.starts, self.counts = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.held = 0
+        self._lay(1 << 12)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _lay(self, size: int) -> None:
+        """An empty table; a key of 0 is a free slot."""
+        self.keys, self.starts, self.counts = np.zeros(size, U64), np.zeros(size, np.int64), np.zeros(size, np.int32)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free one where it would stand."""
+        slot = self._home(keys)
+        found = self.keys[slot]
+        off = np.flatnonzero((found != keys) & (found != 0))
+        while len(off):
+            slot[off] = (slot[off] + 1) & (len(self.keys) - 1)
+            found = self.keys[slot[off]]
+            off = off[(found != keys[off]) & (found != 0)]
+        return slot
+
+    def _insert(self, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Enter distinct keys that the table does not hold."""
+        size = len(self.keys)
+        while 2 * (self.held + len(keys)) > size:
+            size *= 2
+        if size > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, starts, counts = (np.concatenate([x[old], y]) for x, y in ((self.keys, keys), (self.starts, starts), (self.counts, counts)))
+            self._lay(size)
+            self.held = 0
+        self.held += len(keys)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            at, mine = slot[left], keys[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = mine[free]
+            won = self.keys[at] == mine  # of several keys for a slot one stands there now
+            self.starts[at[won]], self.counts[at[won]] = starts[left[won]], counts[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & (size - 1)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -98,9 +141,9 @@ class WordTokenizer:
     def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words end to end, and their counts."""
         ids, counts = [], []
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            found = self._ids(" ".join(some))
+        lots = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for some, encoded in zip(lots, self.tokenizer.encode_batch_fast([" ".join(some) for some in lots], add_special_tokens=False), strict=True):
+            found = np.array(encoded.ids, np.uint32)
             ends = np.flatnonzero(self.closes[found]) + 1
             if len(ends) == len(some):
                 ids.append(found)
@@ -123,14 +166,11 @@ class WordTokenizer:
         self.pool[self.used : self.used + len(whole)] = whole
         starts = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
         self.used += len(whole)
-        merged = np.concatenate([self.hashes, hashes[np.concatenate([first, rest])]])
-        order = np.argsort(merged, kind="stable")
-        self.hashes = merged[order]
-        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+        self._insert(hashes[np.concatenate([first, rest])], starts, counts)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a byte array end to end, and their offsets."""
-        if len(self.hashes) > self.limit:
+        if self.held > self.limit:
             self._clear()
         low = LOWER[data]
         starts, ends = word_spans(low, offsets, ~_BLANK)
@@ -150,19 +190,21 @@ class WordTokenizer:
         part_start[place], part_end[place] = starts, ends - marked
         plain[place] = (inside == size) | marked
         part_start[place[marked] + 1], part_end[place[marked] + 1] = ends[marked] - 1, ends[marked]
-        key = span_hash(prefix_hash(_BYTES[low]), part_start, part_end)
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        held = at < len(self.hashes)
-        known[held] = self.hashes[at[held]] == distinct[held]
-        if not known.all():
-            new = first[~known]
+        key = np.maximum(span_hash(prefix_hash(_BYTES[low]), part_start, part_end), U64(1))
+        slot = self._slots(key)
+        unseen = np.flatnonzero(self.keys[slot] != key)
+        if len(unseen):
+            distinct, first = np.unique(key[unseen], return_index=True)
+            new = unseen[first]
             raw = low.tobytes()
             words = [raw[i:j].decode("utf-8") for i, j in zip(part_start[new].tolist(), part_end[new].tolist(), strict=True)]
-            self._learn(distinct[~known], words, plain[new])
-            at = np.searchsorted(self.hashes, distinct)
-        counts, source = self.counts[at][inverse], self.starts[at][inverse]
+            size = len(self.keys)
+            self._learn(distinct, words, plain[new])
+            if len(self.keys) == size:
+                slot[unseen] = self._slots(key[unseen])
+            else:
+                slot = self._slots(key)
+        counts, source = self.counts[slot].astype(np.int64), self.starts[slot]
         upto = np.cumsum(counts)
         ids = self.pool[np.arange(int(upto[-1])) + np.repeat(source - upto + counts, counts)]
         bounds = np.searchsorted(part_start, offsets)
@@ -172,7 +214,7 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text of a column."""
         data, offsets = text_bytes(texts)
         out: list[bytes] = []
-        for a, b in slices(offsets, SLICE):
+        for a, b in slices(offsets):
             piece = data[offsets[a] : offsets[b]]
             ids, at = self.encode(piece, offsets[a : b + 1] - offsets[a])
             raw = ids.astype("<u4", copy=False).tobytes()
@@ -312,6 +354,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, text: str =
 
     with Scratch(spark) as scratch, arrow_batches(spark, TEXT_ROWS):
         source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        laid = scratch.table(source.mapInArrow(frugal(first), PIECE_SCHEMA))
+        laid = scratch.table(source.mapInArrow(frugal(first, HELD), PIECE_SCHEMA))
         short = laid.where("merge_group is not null").repartition("merge_group").mapInArrow(second, PIECE_SCHEMA)
         return settled(laid.where("merge_group is null").unionByName(short).drop("ids", "merge_group"))

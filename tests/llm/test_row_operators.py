@@ -66,6 +66,26 @@ def test_ids_of_odd_words_match_the_tokenizer():
         assert [g + np.array([2], "<u4").tobytes() for g in got] == [t.tobytes() for t in truth(texts)]
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_the_word_table_grows_without_laying_known_words_anew(monkeypatch, crowded):
+    """Slices with few new words must not cost the whole table; all words in one slot's run are still told apart."""
+    if crowded:
+        monkeypatch.setattr(packing.WordTokenizer, "_home", lambda self, keys: np.full(len(keys), len(self.keys) - 2))
+    laid = []
+    lay = packing.WordTokenizer._lay
+    monkeypatch.setattr(packing.WordTokenizer, "_lay", lambda self, size: (laid.append(size), lay(self, size))[1])
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefgh\u00e9\u00c9XY"))
+    count = 300 if crowded else 20_000
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) + str(rng.choice(["", ".", ",", "'s", "7"])) for _ in range(count)]
+    texts = [" ".join(words[i : i + 100] + words[: i // 2 : 7]) for i in range(0, count, 100)]
+    ours = packing.WordTokenizer(TOKENIZER)
+    for text, ids in zip(texts, truth(texts)):
+        assert ours.encode_texts(pa.array([text]))[0] == ids[:-1].tobytes()
+    assert ours.held == np.count_nonzero(ours.keys) <= len(ours.keys) // 2
+    assert laid == sorted(set(laid)) and len(laid) < 8  # sizes double; 200 slices had new words
+
+
 @pytest.mark.parametrize("form", ["pgm", "bmp"])
 def test_texts_survive_as_images(spark, form):
     stored = media.store_texts(frame(spark, extra=True).select("doc_id", "text", "media", "feature"), form=form)
