@@ -62,7 +62,7 @@ _BYTES = byte_values(59)
 
 @lru_cache(maxsize=1)
 def _loaded(path: str):
-    """The tokenizer, read once by each Python worker; its threads would only wait for each other, as every core has a worker."""
+    """The tokenizer, read once by each Python worker, without threads of its own, as every core has a worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
