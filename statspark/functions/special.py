@@ -163,6 +163,16 @@ def _poly(coefficients: list[float], x: float) -> float:
     return sum(c * x**k for k, c in enumerate(coefficients))
 
 
+def _royston(n: int, square: float) -> tuple[float, float, float]:
+    """Weights of the two outermost values of more than five, and the divisor of the other normal scores; ``square``: sum of the squared scores."""
+    m = [norm_ppf((i - 0.375) / (n + 0.25)) for i in (1, 2)]
+    root, small = math.sqrt(square), 1 / math.sqrt(n)
+    # Royston's polynomials.
+    first = _poly([0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056], small) - m[0] / root
+    second = _poly([0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633], small) - m[1] / root
+    return first, second, math.sqrt((square - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * first**2 - 2 * second**2))
+
+
 def shapiro(sample: np.ndarray) -> tuple[float, float]:
     """Shapiro-Wilk W and p by Royston's approximation (1995)."""
     x = np.sort(sample)
@@ -173,35 +183,44 @@ def shapiro(sample: np.ndarray) -> tuple[float, float]:
     else:
         m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, half + 1)])
         square = 2 * float(m @ m)
-        root, small = math.sqrt(square), 1 / math.sqrt(n)
-        # Royston's polynomials.
-        first = _poly([0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056], small) - m[0] / root
         if n > 5:
-            second = _poly([0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633], small) - m[1] / root
-            scale = math.sqrt((square - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * first**2 - 2 * second**2))
+            first, second, scale = _royston(n, square)
             a = np.concatenate([[first, second], -m[2:] / scale])
         else:
+            first = _poly([0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056], 1 / math.sqrt(n)) - m[0] / math.sqrt(square)
             scale = math.sqrt((square - 2 * m[0] ** 2) / (1 - 2 * first**2))
             a = np.concatenate([[first], -m[1:] / scale])
     spread = x[::-1][:half] - x[:half]
     centred = x - x.mean()
     w = min(1.0, float(a @ spread) ** 2 / float(centred @ centred))
+    return w, shapiro_p(w, n)
+
+
+def shapiro_from_sums(n: int, square: float, product: float, outer: float, inner: float, spread: float) -> tuple[float, float]:
+    """W and p of more than five values from sums: squared normal scores, scores times values, the gaps of the outermost and the next pair, squared deviations."""
+    first, second, scale = _royston(n, square)
+    rest = product + norm_ppf(0.625 / (n + 0.25)) * outer + norm_ppf(1.625 / (n + 0.25)) * inner
+    w = min(1.0, (first * outer + second * inner + rest / scale) ** 2 / spread)
+    return w, shapiro_p(w, n)
+
+
+def shapiro_p(w: float, n: int) -> float:
     if n == 3:
-        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1:
-        return w, 1.0
+        return 1.0
     y, log_n = math.log(1 - w), math.log(n)
     if n <= 11:
         top = _poly([-2.273, 0.459], n)
         if y >= top:
-            return w, 1e-99
+            return 1e-99
         y = -math.log(top - y)
         mean = _poly([0.5440, -0.39978, 0.025054, -6.714e-4], n)
         sd = math.exp(_poly([1.3822, -0.77857, 0.062767, -0.0020322], n))
     else:
         mean = _poly([-1.5861, -0.31082, -0.083751, 0.0038915], log_n)
         sd = math.exp(_poly([-0.4803, -0.082676, 0.0030302], log_n))
-    return w, norm_sf((y - mean) / sd)
+    return norm_sf((y - mean) / sd)
 
 
 # Levels and asymptotic critical values of the normality test with estimated mean and variance.

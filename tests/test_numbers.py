@@ -8,6 +8,7 @@ import pytest
 
 import fixtures
 from statspark.functions import signal, special
+from statspark.operators import describe
 from statspark.runner import run_operation
 
 
@@ -34,6 +35,18 @@ def test_shapiro_matches_a_published_example():
     assert w == pytest.approx(0.79, abs=5e-3) and p == pytest.approx(0.007, abs=2e-3)
 
 
+def test_shapiro_beyond_what_the_driver_takes(spark, monkeypatch):
+    values = np.round(np.random.default_rng(5).gamma(9.0, size=60_001), 2)
+    found = run(spark, "normality_test.shapiro", pd.DataFrame({"height": values}), {"x_columns": ["height"]}, {}).table("normality_test").rows()[0]
+    w, p = special.shapiro(values)
+    assert found["sample_count"] == 60_001 and found["statistic"] == pytest.approx(w, rel=1e-10) and found["p_value"] == pytest.approx(p, rel=1e-6)
+    monkeypatch.setattr(describe, "SHAPIRO_ROWS", 5)
+    for n in (6, 7, 11, 12, 40):
+        few = pd.DataFrame({"height": [*values[:n], None, np.inf]})
+        found = run(spark, "normality_test.shapiro", few, {"x_columns": ["height"]}, {}).table("normality_test").rows()[0]
+        assert (found["statistic"], found["p_value"]) == pytest.approx(special.shapiro(values[:n]), rel=1e-9)
+
+
 def test_kendall_counts_and_exact_p():
     rng = np.random.default_rng(0)
     y, w = rng.integers(0, 9, 60), rng.integers(1, 4, 60)
