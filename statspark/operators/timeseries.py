@@ -49,13 +49,13 @@ def sliding_windows(df: DataFrame, value: str, order: str | None, size: int = 3,
 @operator("time_series_window.sliding", MODULE, [Slot("value_column", NUMERIC, QUANTITATIVE, 1, 1), _ORDER], {
     "window_size": {"type": "integer", "minimum": 1, "maximum": 10000, "default": 3}, "step_size": {"type": "integer", "minimum": 1, "maximum": 10000, "default": 1},
     "output_mode": {"type": "string", "enum": ["supervised", "features"], "default": "supervised"}, "forecast_horizon": {"type": "integer", "minimum": 1, "maximum": 10000, "default": 1},
-    "include_incomplete": {"type": "boolean", "default": False}, "flatten_output": {"type": "boolean", "enum": [True], "default": True}, "duplicate_order": {"type": "string", "enum": ["error", "first", "last"], "default": "error"},
+    "include_incomplete": {"type": "boolean", "default": False}, "flatten_output": {"type": "boolean", "enum": [True], "default": True}, "duplicate_order": {"type": "string", "enum": ["error", "first", "last", "keep"], "default": "error"},
 }, constraints=(disjoint("value_column", "order_column"),), produces_data=True)
 def sliding(run: Run) -> Result:
-    """Lag features (and a target) of an ordered series."""
+    """Lag features (and a target) of an ordered series; rows of equal order are refused, one of them is taken, or all are kept in row order."""
     value, order, p = run.column("value_column"), run.optional("order_column"), run.params
     df, result = run.df, Result(metadata={"output_mode": p["output_mode"]})
-    if order:
+    if order and p["duplicate_order"] != "keep":
         n, d, nulls = df.agg(F.count(col(order)), F.count_distinct(col(order)), F.count(F.when(col(order).isNull(), 1))).first()
         if n != d or nulls > 1:
             if p["duplicate_order"] == "error":

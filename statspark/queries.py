@@ -259,7 +259,7 @@ EVENT = metas("value", "event_type", ints="event_id", t="ts")
 WITH p AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS p, ts, value FROM events), l AS (SELECT p, value AS a, lead(value, 1) OVER w AS b, lead(value, 2) OVER w AS c, lead(value, 3) OVER w AS t, ts AS s, lead(ts, 2) OVER w AS e FROM p WINDOW w AS (ORDER BY p))
 SELECT p AS window_start, p + 2 AS window_end, a AS value_lag_1, b AS value_lag_2, c AS value_lag_3, t AS value_target, epoch_us(s) AS start_us, epoch_us(e) AS end_us FROM l WHERE p % 5 = 0 AND t IS NOT NULL""")
 def q_sliding(spark, d):
-    r = op(table(spark, d, "events"), "time_series_window.sliding", {"value_column": ["value"], "order_column": ["ts"]}, EVENT, step_size=5)
+    r = op(table(spark, d, "events"), "time_series_window.sliding", {"value_column": ["value"], "order_column": ["ts"]}, EVENT, step_size=5, duplicate_order="keep")
     return r.data.select("window_start", "window_end", "value_lag_1", "value_lag_2", "value_lag_3", "value_target", F.unix_micros(F.col("order_start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("order_end").cast("timestamp")).alias("end_us"))
 
 

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 import fixtures
+from statspark import queries
 from statspark.model import Context, FieldMeta, OperatorError, Request
 from statspark.operators.bins import bin_labels, equal_width_edges
 from statspark.operators.timeseries import filtered_decimate
@@ -122,6 +123,21 @@ def test_windows_are_the_oldest_first(spark):
         run(spark, "time_series_window.sliding", twice, {"value_column": ["v"], "order_column": ["t"]})
 
 
+def test_windows_over_all_rows_of_one_order_value(spark):
+    twice = pd.DataFrame({"t": [1, 1, 2, 3], "v": [1.0, 9.0, 2.0, 3.0]})
+    r = run(spark, "time_series_window.sliding", pd.concat([twice] * 2), {"value_column": ["v"], "order_column": ["t"]}, window_size=2, step_size=2, duplicate_order="keep")
+    assert [tuple(x) for x in r.data.orderBy("window_start").collect()] == [(0, 1, 1.0, 9.0, 1, 1, 1.0), (2, 3, 1.0, 9.0, 1, 1, 2.0), (4, 5, 2.0, 2.0, 2, 2, 3.0)]
+
+
+def test_the_sliding_query_keeps_rows_of_one_time(spark, tmp_path):
+    at = pd.to_datetime(["2024-01-01 00:00:01", "2024-01-01 00:00:02", "2024-01-01 00:00:03"])
+    events = pd.DataFrame({"event_id": range(9), "ts": [*at] * 3, "event_type": "view", "value": [float(i) for i in range(9)]})
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet", index=False)
+    got = queries.QUERIES["time_series_window_sliding"](spark, str(tmp_path)).orderBy("window_start").collect()
+    assert [tuple(x)[:6] for x in got] == [(0, 2, 0.0, 3.0, 6.0, 1.0), (5, 7, 7.0, 2.0, 5.0, 8.0)]
+
+
 def test_blocks_and_samples(spark):
     pdf = pd.DataFrame({"t": [1, 2, 3, 4, 5], "v": [1.0, None, 3.0, 4.0, 5.0], "s": list("abcde")})
     slots = {"value_columns": ["v"], "order_column": ["t"]}
