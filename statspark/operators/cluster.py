@@ -149,10 +149,13 @@ def kmeans(run: Run) -> Result:
 
 #: Dimensions of the grid of neighbour search; further ones only take part in distances.
 GRID_DIMENSIONS = 3
+#: Point pairs two boxes may have to be compared at once.
+TOUCH_PAIRS = 1 << 16
+#: Edges of a graph up to which the driver finds its components; beyond, they are found side by side.
+DRIVER_EDGES = 300_000
 
 
-def distance(metric: str, a: Column, b: Column) -> Column:
-    gaps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+def norm(metric: str, gaps: Column) -> Column:
     if metric == "manhattan":
         return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g)
     if metric == "chebyshev":
@@ -160,21 +163,98 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
 
 
-def neighbours(points: DataFrame, eps: float, metric: str, width: int) -> DataFrame:
-    """Pairs (i, j) within eps, both ways and itself included: rows meet in cells of a grid of side eps."""
-    dims = min(width, GRID_DIMENSIONS)
-    cell = [F.floor(F.get("x", d) / eps).alias(f"c{d}") for d in range(dims)]
-    left = points.select(F.col(ROW_ID).alias("i"), F.col("x").alias("xi"), *cell)
-    spread = points.select(F.col(ROW_ID).alias("j"), F.col("x").alias("xj"), *cell)
-    for d in range(dims):
-        spread = spread.withColumn(f"c{d}", F.explode(F.array(F.col(f"c{d}") - 1, F.col(f"c{d}"), F.col(f"c{d}") + 1)))
-    return left.join(spread, [f"c{d}" for d in range(dims)]).where(distance(metric, F.col("xi"), F.col("xj")) <= eps).select("i", "j")
+def distance(metric: str, a: Column, b: Column) -> Column:
+    return norm(metric, F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def nearest(metric: str, low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    """No pair of points of two boxes is nearer, as ``distance`` computes it: rounding keeps order."""
+    return norm(metric, F.zip_with(F.zip_with(low2, high, lambda x, y: x - y), F.zip_with(low, high2, lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))))
+
+
+def farthest(metric: str, low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    """No pair of points of two boxes is farther apart, as ``distance`` computes it."""
+    return norm(metric, F.zip_with(F.zip_with(high2, low, lambda x, y: x - y), F.zip_with(high, low2, lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+
+
+def _boxes(width: int) -> list[Column]:
+    return [F.array(*(f(F.get("x", i)) for i in range(width))).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+
+
+def cells_of(points: DataFrame, eps: float, metric: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Points (row, x, c) and cells (c, n, low, high, place): all points of a cell are within eps, ``c`` is its least row, and cells within eps have places that differ by 1 at most."""
+    spread = {"manhattan": width, "chebyshev": 1}.get(metric, width**0.5) * (1 + 1e-6)
+    step = int(spread) + 1
+    keyed = points.withColumn("cell", F.transform("x", lambda v: F.floor(v / (eps / spread)))).withColumn("key", F.col("cell"))
+    boxed = settled(keyed.groupBy("key").agg(F.min(ROW_ID).alias("c"), F.count(F.lit(1)).alias("n"), F.first("cell").alias("cell"), *_boxes(width)))
+    if boxed.where(distance(metric, F.col("low"), F.col("high")) > eps).limit(1).count():  # coordinates so large that cells are rounded away
+        keyed = keyed.withColumn("key", F.col("x"))
+        boxed = settled(keyed.groupBy("key").agg(F.min(ROW_ID).alias("c"), F.count(F.lit(1)).alias("n"), F.first("cell").alias("cell"), *_boxes(width)))
+    placed = settled(keyed.join(boxed.select("key", "c"), "key").select(ROW_ID, "x", "c"))
+    place = [F.expr(f"(cell[{d}] - pmod(cell[{d}], {step})) div {step}").alias(f"p{d}") for d in range(min(width, GRID_DIMENSIONS))]
+    return placed, boxed.select("c", "n", "low", "high", *place)
+
+
+def cell_pairs(cells: DataFrame, eps: float, metric: str, width: int) -> DataFrame:
+    """Cells (a, b) whose boxes come within eps, both ways and itself included, with the count and box of b."""
+    places = [f"p{d}" for d in range(min(width, GRID_DIMENSIONS))]
+    left = cells.select(F.col("c").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), *places)
+    right = cells.withColumnRenamed("c", "b")
+    for p in places:
+        right = right.withColumn(p, F.explode(F.array(F.col(p) - 1, F.col(p), F.col(p) + 1)))
+    return left.join(right, places).where(nearest(metric, F.col("low_a"), F.col("high_a"), F.col("low"), F.col("high")) <= eps).select("a", "b", "n", "low", "high")
+
+
+def touching(a: np.ndarray, b: np.ndarray, eps: float, metric: str) -> bool:
+    """Whether any point of ``a`` is within eps of one of ``b``, by halving the larger box until few pairs are left."""
+
+    def size(gaps: np.ndarray) -> np.ndarray:
+        total = np.zeros(gaps.shape[1:])
+        for g in gaps:  # in the order of ``distance``
+            total = np.maximum(total, g) if metric == "chebyshev" else total + (g if metric == "manhattan" else g * g)
+        return total if metric in ("manhattan", "chebyshev") else np.sqrt(total)
+
+    waiting = [(a, b)]
+    while waiting:
+        a, b = waiting.pop()
+        low, high, low2, high2 = a.min(0), a.max(0), b.min(0), b.max(0)
+        if size(np.maximum(np.maximum(low2 - high, low - high2), 0.0)) > eps:
+            continue
+        if size(np.maximum(high2 - low, high - low2)) <= eps:
+            return True
+        if len(a) * len(b) <= TOUCH_PAIRS:
+            if (size(np.abs(a.T[:, :, None] - b.T[:, None, :])) <= eps).any():
+                return True
+            continue
+        if len(a) < len(b):
+            a, b = b, a
+        axis, half = int(np.argmax(np.ptp(a, 0))), len(a) // 2
+        split = a[np.argpartition(a[:, axis], half)]
+        parts = [split[:half], split[half:]]
+        centre = (b[:, axis].min() + b[:, axis].max()) / 2
+        parts.sort(key=lambda part: -abs(part[:, axis].mean() - centre))
+        waiting += [(part, b) for part in parts]  # the nearer half first
+    return False
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): the least id of each node's component, by hooking to the least neighbour and jumping."""
-    state = settled(nodes.select("id", F.col("id").alias("root")))
     edges = settled(edges)
+    if edges.limit(DRIVER_EDGES + 1).count() <= DRIVER_EDGES:
+        up: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while (above := up.get(v, v)) != v:
+                up[v] = v = up.get(above, above)
+            return v
+
+        for i, j in edges.where("i < j").collect():
+            a, b = top(i), top(j)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        named = edges.sparkSession.createDataFrame([(v, top(v)) for v in list(up)] or [(None, None)], "id long, root long")
+        return settled(nodes.select("id").join(named, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    state = settled(nodes.select("id", F.col("id").alias("root")))
     while True:
         near = edges.join(state.toDF("j", "r"), "j").groupBy("i").agg(F.min("r").alias("r")).withColumnRenamed("i", "id")
         hooked = settled(state.join(near, "id", "left").select("id", F.least("root", F.coalesce("r", "root")).alias("root")))
@@ -186,26 +266,80 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return state
 
 
+def core_points(placed: DataFrame, cells: DataFrame, near: DataFrame, eps: float, least: int, metric: str) -> tuple[DataFrame, DataFrame]:
+    """Core points (row, x, c), and pairs (row, x, b) of other points with cells in reach. Cells of ``least`` points are core as they are; fewer points than that in any other cell look around."""
+    many = cells.where(F.col("n") >= least).select("c")
+    sparse = placed.join(many, "c", "left_anti")
+    at = F.col("x")
+    looks = settled(sparse.join(near, sparse["c"] == near["a"]).where(nearest(metric, at, at, F.col("low"), F.col("high")) <= eps).select(ROW_ID, "x", "b", "n", (farthest(metric, at, at, F.col("low"), F.col("high")) <= eps).alias("whole")))
+    sure = looks.where("whole").groupBy(ROW_ID).agg(F.sum("n").alias("sure"))
+    open_ = looks.where(~F.col("whole")).join(sure, ROW_ID, "left").where(F.coalesce("sure", F.lit(0)) < least)
+    found = open_.join(placed.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").where(distance(metric, F.col("x"), F.col("y")) <= eps).groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("found"))
+    core_rows = settled(sure.join(found, ROW_ID, "full").where(F.coalesce("sure", F.lit(0)) + F.coalesce("found", F.lit(0)) >= least).select(ROW_ID))
+    core = placed.join(many, "c", "left_semi").unionByName(sparse.join(core_rows, ROW_ID, "left_semi"))
+    return settled(core), looks.join(core_rows, ROW_ID, "left_anti").select(ROW_ID, "x", "b")
+
+
+def cell_roots(core: DataFrame, near: DataFrame, eps: float, metric: str, width: int) -> DataFrame:
+    """Cells with core points (c, low, high, root): ``root`` is the least core row of the component. One pair of points within eps joins two cells, so no more are sought than settle it."""
+    # Outermost points of a cell: those of neighbours are mostly within eps.
+    ends = [f("x", F.get("x", d)) for d in range(min(width, GRID_DIMENSIONS)) for f in (F.min_by, F.max_by)]
+    boxed = settled(core.groupBy("c").agg(F.min(ROW_ID).alias("id"), *_boxes(width), F.array_distinct(F.array(*ends)).alias("ends")))
+    here, there = (boxed.select(*(F.col(c).alias(f"{c}_{k}") for c in boxed.columns)) for k in "ab")
+    pairs = near.where("a < b").select("a", "b").join(here, F.col("a") == F.col("c_a")).join(there, F.col("b") == F.col("c_b"))
+    box = [F.col(c) for c in ("low_a", "high_a", "low_b", "high_b")]
+    met = F.exists("ends_a", lambda x: F.exists("ends_b", lambda y: distance(metric, x, y) <= eps))
+    pairs = settled(pairs.where(nearest(metric, *box) <= eps).select("a", "b", "id_a", "id_b", "low_a", "high_a", "low_b", "high_b", F.when(farthest(metric, *box) <= eps, True).otherwise(met).alias("joined")))
+
+    def both(edges: DataFrame) -> DataFrame:
+        return edges.toDF("i", "j").unionByName(edges.toDF("j", "i"))
+
+    roots = connected(both(pairs.where("joined").select("id_a", "id_b")), boxed.select("id"))
+    apart = pairs.where(~F.col("joined")).join(roots.toDF("id_a", "root_a"), "id_a").join(roots.toDF("id_b", "root_b"), "id_b").where("root_a <> root_b")
+    sides = []
+    for own, other in ("ab", "ba"):
+        reached = apart.join(core.select(F.col("c").alias(own), "x"), own).where(nearest(metric, F.col("x"), F.col("x"), F.col(f"low_{other}"), F.col(f"high_{other}")) <= eps)
+        sides.append(reached.select("a", "b", "root_a", "root_b", F.lit(own).alias("side"), "x").distinct())
+
+    def meet(group):
+        import pandas as pd
+
+        first = (group["side"] == "a").to_numpy()
+        a, b = (np.array(group["x"][held].tolist(), float).reshape(-1, width) for held in (first, ~first))
+        hit = len(a) and len(b) and touching(a, b, eps, metric)
+        return pd.DataFrame({"i": group["root_a"].head(int(bool(hit))), "j": group["root_b"].head(int(bool(hit)))})
+
+    more = settled(sides[0].unionByName(sides[1]).groupBy("a", "b").applyInPandas(meet, "i long, j long").distinct())
+    if more.limit(1).count():
+        upper = connected(both(more), roots.select(F.col("root").alias("id")).distinct())
+        roots = roots.join(upper.toDF("root", "top"), "root").select("id", F.col("top").alias("root"))
+    return settled(boxed.join(roots, "id").select("c", "low", "high", "root"))
+
+
 def dbscan_labels(points: DataFrame, eps: float, least: int, metric: str, width: int) -> tuple[DataFrame, int]:
-    """(row, label) with -1 for noise, clusters numbered by their least core row; border rows join the lowest adjacent one."""
-    pairs = settled(neighbours(points, eps, metric, width))
-    core = settled(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("i").alias("id")))
-    inner = pairs.join(core.toDF("i"), "i", "left_semi").join(core.toDF("j"), "j", "left_semi")
-    roots = connected(inner.select("i", "j"), core)
+    """(row, label) with -1 for noise, clusters numbered by their least core row; border rows join the lowest adjacent one. Work grows with rows and pairs of cells, not with pairs of rows, where cells hold many rows."""
+    placed, cells = cells_of(points, eps, metric, width)
+    near = settled(cell_pairs(cells, eps, metric, width))
+    core, border = core_points(placed, cells, near, eps, least, metric)
+    roots = cell_roots(core, near, eps, metric, width)
     numbers = roots.select("root").distinct()
     ordered = {r["root"]: k for k, r in enumerate(numbers.orderBy("root").limit(1_000_001).collect())}
     if len(ordered) > 1_000_000:
         raise data_error("too many clusters; raise eps", most=1_000_000)
     named = points.sparkSession.createDataFrame(list(ordered.items()) or [(None, None)], "root long, label long")
-    core_labels = roots.join(F.broadcast(named), "root").select("id", "label")
-    touching = pairs.join(core_labels.toDF("j", "label"), "j").groupBy("i").agg(F.min("label").alias("near"))
-    labelled = points.join(core_labels.withColumnRenamed("id", ROW_ID), ROW_ID, "left").join(touching.withColumnRenamed("i", ROW_ID), ROW_ID, "left")
+    labels = settled(roots.join(F.broadcast(named), "root").select("c", "low", "high", "label"))
+    core_labels = core.join(labels.select("c", "label"), "c").select(ROW_ID, "label")
+    at = F.col("x")
+    seen = settled(border.join(labels.withColumnRenamed("c", "b"), "b").where(nearest(metric, at, at, F.col("low"), F.col("high")) <= eps).select(ROW_ID, "x", "b", "label", (farthest(metric, at, at, F.col("low"), F.col("high")) <= eps).alias("whole")))
+    open_ = seen.where(~F.col("whole")).join(core.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").where(distance(metric, at, F.col("y")) <= eps)
+    touched = seen.where("whole").select(ROW_ID, "label").unionByName(open_.select(ROW_ID, "label")).groupBy(ROW_ID).agg(F.min("label").alias("near"))
+    labelled = points.join(core_labels, ROW_ID, "left").join(touched, ROW_ID, "left")
     return labelled.select(ROW_ID, "x", F.coalesce("label", "near", F.lit(-1)).alias("label")), core.count()
 
 
 @operator("dbscan_clustering.standard", MODULE, [Slot("x_columns", NUMERIC, QUANTITATIVE)], {"eps": {"type": "number", "exclusiveMinimum": 0, "default": 0.5}, "min_samples": {"type": "integer", "minimum": 1, "default": 5}, "metric": {"type": "string", "enum": ["euclidean", "manhattan", "chebyshev"], "default": "euclidean"}, "standardize": {"type": "boolean", "default": True}, **_LABEL, "label_column_name": {"type": "string", "minLength": 1, "maxLength": 128, "default": "cluster_dbscan"}}, constraints=(Constraint("min_rows", value=2),), produces_data=True)
 def dbscan(run: Run) -> Result:
-    """Density clusters through a grid join and connected components."""
+    """Density clusters through a grid of cells and connected components."""
     p = run.params
     df, dropped = complete(run, run.columns("x_columns"))
     made = design(run, df, run.columns("x_columns"))

@@ -8,7 +8,9 @@ import pytest
 
 import fixtures
 from statspark.functions import signal, special
-from statspark.operators import describe
+from statspark.model import ROW_ID
+from statspark.operators import cluster, describe
+from statspark.plans.order import with_row_id
 from statspark.runner import run_operation
 
 
@@ -168,6 +170,67 @@ def test_kappa_and_correlations_match_direct_sums(spark):
     assert spearman["sugar", "grade"]["coefficient"] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-10)
 
 
+def brute_labels(x, eps, least, metric):
+    """Density labels by all pairs."""
+    gaps = np.abs(x[:, None] - x[None])
+    d = gaps.sum(-1) if metric == "manhattan" else gaps.max(-1) if metric == "chebyshev" else np.sqrt((gaps * gaps).sum(-1))
+    near = d <= eps
+    core = near.sum(1) >= least
+    label, k = np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            stack, label[i] = [i], k
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & core & (label < 0)):
+                    label[j] = k
+                    stack.append(j)
+            k += 1
+    for i in np.flatnonzero(~core):
+        held = near[i] & core
+        label[i] = label[held].min() if held.any() else -1
+    return label, int(core.sum())
+
+
+@pytest.mark.parametrize("width,eps,least,metric", [(2, 0.11, 6, "euclidean"), (1, 0.004, 3, "manhattan"), (2, 0.12, 5, "chebyshev"), (4, 0.5, 5, "euclidean"), (3, 0.45, 4, "manhattan")])
+def test_density_labels_match_all_pairs(spark, width, eps, least, metric):
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.normal(0, 0.3, (300, width)), rng.normal(1.5, 0.2, (150, width)), rng.uniform(-2, 3, (100, width)), np.repeat(rng.uniform(-2, 3, (3, width)), 20, axis=0), np.round(rng.normal(0, 1, (60, width)), 1)])
+    x = rng.permutation(x)
+    rows = with_row_id(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").coalesce(1))
+    labels, cores = cluster.dbscan_labels(rows, eps, least, metric, width)
+    expected, core = brute_labels(x, eps, least, metric)
+    assert cores == core and [r["label"] for r in labels.orderBy(ROW_ID).collect()] == expected.tolist()
+
+
+def test_density_work_grows_with_cells_not_with_pairs(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 2))
+    rows = with_row_id(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").coalesce(1))
+    placed, cells = cluster.cells_of(rows, 1.0, "euclidean", 2)
+    near = cluster.cell_pairs(cells, 1.0, "euclidean", 2).count()
+    core, border = cluster.core_points(placed, cells, cluster.cell_pairs(cells, 1.0, "euclidean", 2), 1.0, 5, "euclidean")
+    pairs = int((np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 1.0).sum())
+    assert near <= 25 * cells.count() and 500 * near < pairs and core.count() + border.select(ROW_ID).distinct().count() <= 4000
+
+
+def test_components_on_the_driver_and_beyond(spark, monkeypatch):
+    edges = [(1, 5), (5, 9), (2, 3), (9, 4), (7, 7), (8, 6), (6, 2)]
+    frame = spark.createDataFrame(edges + [(j, i) for i, j in edges], "i long, j long")
+    nodes = spark.createDataFrame([(i,) for i in range(11)], "id long")
+    for most in (100, 0):
+        monkeypatch.setattr(cluster, "DRIVER_EDGES", most)
+        got = dict(tuple(r) for r in cluster.connected(frame, nodes).collect())
+        assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 1, 5: 1, 6: 2, 7: 7, 8: 2, 9: 1, 10: 10}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_touching_sets(metric):
+    rng = np.random.default_rng(8)
+    a, b = rng.uniform(0, 1, (900, 2)), rng.uniform(0, 1, (700, 2)) + [1.02, 0.3]
+    gaps = np.abs(a[:, None] - b[None])
+    least = {"manhattan": gaps.sum(-1), "chebyshev": gaps.max(-1)}.get(metric, np.sqrt((gaps * gaps).sum(-1))).min()
+    assert cluster.touching(a, b, least, metric) and not cluster.touching(a, b, least * (1 - 1e-12), metric)
+
+
 def test_poisson_statistic_and_density_labels(spark):
     result = run(spark, "poisson_goodness_of_fit.chi_square")
     rows = result.table("poisson_fit").rows()
