@@ -17,8 +17,8 @@ from ..plans.registry import BOTH, DISCRETE, NUMERIC, QUANTITATIVE, Constraint,
 from ..plans.storage import settled
 
 MODULE = "clustering_models"
-#: Query rows of one pass of the silhouette, sums (query rows x clusters) a pass returns, and distances held at once.
-QUERY_ROWS, QUERY_SUMS, DISTANCES = 16_384, 2_000_000, 1 << 20
+#: Values of the rows that tasks hold at once for the silhouette, rows a task looks up, and rows and held rows of one step of it, which fit a core's cache.
+HELD_VALUES, TASK_ROWS, STEP_ROWS, STEP_HELD = 4_000_000, 2048, 128, 512
 CHART_ROWS = 1000
 
 
@@ -33,8 +33,8 @@ def scaled_features(df: DataFrame, made: Design, standardize: bool) -> tuple[Dat
     return df.select(ROW_ID, F.array(*cells).alias("x")), centre, scale
 
 
-def silhouette(points: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> float | None:
-    """Mean Euclidean silhouette of all (x, label) rows. Blocks of query rows, by row hash, meet all rows in Arrow batches, one block after the other."""
+def silhouette(points: DataFrame, k: int, query_rows: int | None = None) -> float | None:
+    """Mean Euclidean silhouette of all (x, label) rows, at most ``k`` labels. Slabs of at most ``query_rows`` rows, by row hash, go to all tasks one after the other; each row adds up its distances where it is, so only rows are dealt out."""
     import pandas as pd
 
     sizes = {r["label"]: r["n"] for r in points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -43,54 +43,68 @@ def silhouette(points: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> float
         return None
     size = np.array([sizes[v] for v in names], float)
     n = int(size.sum())
-    blocks = -(-n // max(1, min(query_rows, QUERY_SUMS // len(names))))
-    block = F.pmod(F.xxhash64(ROW_ID), F.lit(blocks))
-    total = 0.0
-    for i in range(blocks):
-        local = points.where(block == i).select("x", "label").toPandas()
-        if not len(local):
-            continue
-        q = np.array(local["x"].tolist(), float)
-        own = np.searchsorted(names, local["label"].to_numpy())
-        shared = points.sparkSession.sparkContext.broadcast(q)  # about ``query_rows`` rows
-
-        def sums(batches, shared=shared):
-            q = shared.value
-            out = np.zeros((len(q), len(names)))
-            step = max(1, DISTANCES // len(q))
-            for b in filter(len, batches):
-                which = np.searchsorted(names, b["label"].to_numpy())
-                order = np.argsort(which, kind="stable")
-                x, which = np.array(b["x"].tolist(), float).reshape(len(b), -1)[order], which[order]
-                for at in range(0, len(x), step):
-                    held, starts = np.unique(which[at : at + step], return_index=True)
-                    out[:, held] += np.add.reduceat(_distances(q, x[at : at + step]), starts, axis=1)
-            yield pd.DataFrame({"query": np.repeat(np.arange(len(out)), len(names)), "c": np.tile(np.arange(len(names)), len(out)), "d": out.ravel()})
-
-        got = points.select("x", "label").mapInPandas(sums, "query long, c long, d double").groupBy("query", "c").agg(F.sum("d").alias("d")).toPandas()
-        shared.destroy()
-        d = np.zeros((len(q), len(names)))
-        d[got["query"].to_numpy(int), got["c"].to_numpy(int)] = got["d"]
-        rows = np.arange(len(q))
+    width = len(points.select("x").first()[0])
+    slabs = -(-n // max(1, query_rows or HELD_VALUES // width))
+    slab = F.pmod(F.xxhash64(ROW_ID), F.lit(slabs))
+    state = points.select(ROW_ID, "x", "label", F.array().cast("array<double>").alias("d")).repartition(max(1, -(-n // TASK_ROWS)), ROW_ID)
+
+    def added(b: pd.DataFrame, held: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        x = np.array(b["x"].tolist(), float).reshape(len(b), width)
+        before = np.array(b["d"].tolist(), float).reshape(len(b), -1)
+        d = before if before.size else np.zeros((len(b), len(names)))
+        for at in range(0, len(x), STEP_ROWS):
+            for c in range(len(names)):
+                for start in range(ends[c], ends[c + 1], STEP_HELD):
+                    d[at : at + STEP_ROWS, c] += _distances(x[at : at + STEP_ROWS], held[:, start : min(start + STEP_HELD, ends[c + 1])]).sum(1)
+        return d
+
+    def scores(b: pd.DataFrame, d: np.ndarray) -> np.ndarray:
+        own, rows = np.searchsorted(names, b["label"].to_numpy()), np.arange(len(b))
         inside = d[rows, own] / np.maximum(size[own] - 1, 1)
         other = d / size
         other[rows, own] = np.inf
         near = other.min(1)
         most = np.maximum(near, inside)
-        total += float(np.where((size[own] > 1) & (most > 0), (near - inside) / np.where(most > 0, most, 1.0), 0.0).sum())
+        return np.where((size[own] > 1) & (most > 0), (near - inside) / np.where(most > 0, most, 1.0), 0.0)
+
+    total = 0.0
+    for i in range(slabs):
+        local = points.where(slab == i).select("label", *(F.get("x", j).alias(f"x{j}") for j in range(width))).toArrow()
+        label = local.column("label").to_numpy()
+        order = np.argsort(label, kind="stable")
+        held = np.array([local.column(f"x{j}").to_numpy()[order] for j in range(width)])
+        shared = points.sparkSession.sparkContext.broadcast((held, np.searchsorted(label[order], [*names, names[-1] + 1])))
+        last = i == slabs - 1
+
+        def step(batches, shared=shared, last=last):
+            for b in filter(len, batches):
+                d = added(b, *shared.value)
+                yield pd.DataFrame({"s": [float(scores(b, d).sum())]}) if last else b.assign(d=list(d))
+
+        if last:
+            total = state.mapInPandas(step, "s double").agg(F.sum("s")).first()[0]
+        else:
+            state = settled(state.mapInPandas(step, state.schema))
+        shared.destroy()
     return total / n
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances; of few dimensions by differences, else by products."""
-    if a.shape[1] <= 4:
-        square = np.zeros((len(a), len(b)))
-        for i in range(a.shape[1]):
-            gap = a[:, i, None] - b[None, :, i]
-            square += gap * gap
+    """Euclidean distances of rows to columns; of few dimensions by differences, else by products."""
+    if len(b) <= 4:
+        square = np.subtract(a[:, 0, None], b[0])
+        square *= square
+        for i in range(1, len(b)):
+            gap = np.subtract(a[:, i, None], b[i])
+            gap *= gap
+            square += gap
     else:
-        square = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-    return np.sqrt(square)
+        square = a @ b
+        square *= -2
+        square += (a * a).sum(1)[:, None]
+        square += (b * b).sum(0)
+        np.maximum(square, 0, out=square)
+    return np.sqrt(square, out=square)
 
 
 def _labelled(run: Run, labels: DataFrame) -> DataFrame | None:

@@ -258,6 +258,25 @@ def test_silhouette_matches_pairwise_distances(spark):
     assert result.metric("silhouette") == pytest.approx(np.mean(scores), abs=1e-6)
 
 
+def test_silhouette_shuffles_rows_and_not_sums(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(size=(900, 6)), rng.integers(0, 5, 900)
+    x[label == 2] += 1.5
+    points = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], f"{ROW_ID} long, x array<double>, label int").repartition(30)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    means = np.array([[d[i][label == c].sum() / ((label == c).sum() - (label[i] == c)) for c in range(5)] for i in range(900)])
+    inside = means[np.arange(900), label].copy()
+    means[np.arange(900), label] = np.inf
+    expected = ((means.min(1) - inside) / np.maximum(means.min(1), inside)).mean()
+    monkeypatch.setattr(cluster, "TASK_ROWS", 100)
+    asked = []
+    grouped = type(points).groupBy
+    monkeypatch.setattr(type(points), "groupBy", lambda self, *c: (asked.append(c), grouped(self, *c))[1])
+    for most in (None, 400):
+        assert cluster.silhouette(points, 5, most) == pytest.approx(expected, abs=1e-9)
+    assert ("query", "c") not in asked
+
+
 def test_silhouette_takes_every_row(spark):
     from statspark.model import ROW_ID
     from statspark.operators.cluster import silhouette
